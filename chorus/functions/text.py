@@ -23,7 +23,7 @@ def tokens_az3(text) -> Column:
 
 def sentences(text) -> Column:
     """Trim, split on whitespace that follows . ! or ?; blank text -> []."""
-    t = F.trim(F.coalesce(_c(text), F.lit("")))
+    t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"^\s+|\s+$", "")
     return F.when(t == "", F.array().cast("array<string>")).otherwise(
         F.split(t, r"(?<=[.!?])\s+"))
 
