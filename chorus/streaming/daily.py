@@ -27,3 +27,61 @@ def _aggs():
 def daily_sentiment_batch(events: DataFrame) -> DataFrame:
     """A10: per (date, topic, source): label counts and mean confidence."""
     return event_scores(events).groupBy(F.col("d").cast("string").alias("day"), "topic_id", "source").agg(*_aggs())
+
+
+def event_time(ts_ntz) -> F.Column:
+    """timestamp_ntz -> timestamp at the same UTC wall-clock time, with no
+    dependence on the session time zone (watermarks need a timestamp)."""
+    secs = (F.datediff(F.to_date(ts_ntz), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+            + F.hour(ts_ntz) * 3600 + F.minute(ts_ntz) * 60 + F.second(ts_ntz))
+    return F.timestamp_seconds(secs)
+
+
+def _utc_day(ts) -> F.Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int")).cast("string")
+
+
+def stream_daily_sentiment(spark, source_dir: str, out_dir: str, checkpoint: str,
+                           files_per_trigger: int = 1) -> DataFrame:
+    """Events read as a file stream, 1-day tumbling windows per topic and
+    source under a 1-day watermark, in complete mode; each micro-batch
+    replaces the result table (foreachBatch), which is returned read back."""
+    from chorus.sources.tables import read
+    schema = read(spark, source_dir, "events").schema
+    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+          .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
+    sc = event_scores(ev).withColumn("et", event_time(F.col("ts")))
+    agg = (sc.withWatermark("et", "1 day")
+           .groupBy(F.window("et", "1 day").alias("w"), "topic_id", "source").agg(*_aggs()))
+
+    def sink(batch: DataFrame, _epoch: int) -> None:
+        batch.select(_utc_day(F.col("w.start")).alias("day"), "topic_id", "source", "positive_count",
+                     "negative_count", "neutral_count", "avg_confidence").write.mode("overwrite").parquet(out_dir)
+
+    q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_dir)
+
+
+def stream_dedup_posts(spark, source_dir: str, out_dir: str, checkpoint: str) -> DataFrame:
+    """R2: posts streamed from the documents file, de-duplicated on
+    (source, external_id = md5 of the text) within a 60-day watermark on the
+    post time; appended per micro-batch, returned read back."""
+    from chorus.sources.tables import read
+    schema = read(spark, source_dir, "documents").schema
+    docs = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(source_dir))
+    reddit = F.col("doc_id") % 2 == 0
+    p = docs.select(
+        F.when(reddit, F.lit("Reddit")).otherwise(F.lit("HackerNews")).alias("source"),
+        F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("external_id"),
+        F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") * 7919) % 2592000).alias("created"))
+    d = p.withWatermark("created", "60 days").dropDuplicatesWithinWatermark(["source", "external_id"])
+
+    def sink(batch: DataFrame, _epoch: int) -> None:
+        batch.select("source", "external_id").write.mode("append").parquet(out_dir)
+
+    q = (d.writeStream.outputMode("append").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_dir)
