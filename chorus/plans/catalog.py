@@ -25,5 +25,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     # importing the plan modules fills CATALOG
-    from chorus.plans import content, graph, mentions, ranking, sentiment, store, streaming, words  # noqa: F401
+    from chorus.plans import content, graph, landed, mentions, ranking, sentiment, store, streaming, words  # noqa: F401
     return CATALOG
