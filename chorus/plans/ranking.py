@@ -55,7 +55,7 @@ def top_posts(spark, sf):
 
 
 @query("posts_by_date", with_views(f"""
-SELECT id, created_epoch, CAST(CAST(to_timestamp(created_epoch) AS DATE) AS VARCHAR) AS created_date
+SELECT id, created_epoch, CAST(CAST(make_timestamp(created_epoch * 1000000) AS DATE) AS VARCHAR) AS created_date
 FROM posts""", "posts"))
 def posts_by_date(spark, sf):
     p = posts(spark, sf)

@@ -26,7 +26,7 @@ def compact_score(spark, sf):
 
 
 @query("age_bucket", with_views(f"""
-SELECT id, CAST(CAST(to_timestamp(created_epoch) AS DATE) AS VARCHAR) AS date_text,
+SELECT id, CAST(CAST(make_timestamp(created_epoch * 1000000) AS DATE) AS VARCHAR) AS date_text,
   CASE WHEN d = 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d <= 7 THEN 'last week' WHEN d <= 30 THEN 'last month'
        WHEN d <= 90 THEN '3 months' WHEN d <= 365 THEN 'this year' WHEN d // 365 = 1 THEN '1 year'
        ELSE CAST(d // 365 AS VARCHAR) || ' years' END AS age
@@ -37,7 +37,7 @@ def age_bucket(spark, sf):
 
 
 @query("epoch_to_ts", with_views("""
-SELECT id, created_epoch, strftime(to_timestamp(created_epoch) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created_utc
+SELECT id, created_epoch, strftime(make_timestamp(created_epoch * 1000000), '%Y-%m-%d %H:%M:%S') AS created_utc
 FROM posts""", "posts"))
 def epoch_to_ts(spark, sf):
     """Epoch seconds -> UTC timestamp text (formatted from epoch arithmetic, no session zone)."""
