@@ -258,3 +258,16 @@ def q_thread_strip(spark, sf):
         "post_id", F.lit(2).alias("line"), (F.col("cursor") + F.col("rr")).alias("cell"),
         cls.alias("cls"), bucket.alias("bucket"), "cursor")
     return line1.unionByName(line2).where((F.col("cursor") < 8) & (F.col("cell") < 8)).drop("cursor")
+
+
+@query("lexicon_join", _TITLE("""
+SELECT t.sid AS id, count(*) AS n_hits, round(sum(x.valence), 6) AS sum_valence
+FROM s_tok t JOIN lex x ON t.tok = x.token GROUP BY t.sid"""))
+def q_lexicon_join(spark, sf):
+    """Title tokens (as T1 splits them) joined to the broadcast lexicon."""
+    from chorus.operators.sentiment import lexicon_for_join, token_rows
+    rows = token_rows(posts(spark, sf).select("id", "title"), ["id"], "title").where(F.col("i") >= 0)
+    lex = lexicon_for_join(spark, None)
+    j = rows.join(lex, rows.tok == lex.token)
+    return j.groupBy(F.col("sid.id").alias("id")).agg(F.count(F.lit(1)).alias("n_hits"),
+                                                      F.round(F.sum("valence"), 6).alias("sum_valence"))
