@@ -64,6 +64,15 @@ def candidate_tokens(df: DataFrame, id_col: str, title_col: str, text_col: str)
     spark = df.sparkSession
     s = df.select(F.col(id_col).alias("post"),
                   F.posexplode(sentences(_content(F.col(title_col), F.col(text_col)))).alias("s_ix", "sent"))
+    # a sentence can only hold a candidate if its lower-case text contains a
+    # family or tier word or a digit (every version token has one): skip the
+    # per-token work for all other sentences (exact pruning)
+    low = F.lower("sent")
+    words = [w for w, _ in vocab.FAMILIES] + [w for w, _ in vocab.TIERS]
+    maybe = F.lit(False)
+    for w in words:
+        maybe = maybe | (F.instr(low, w) > 0)
+    s = s.where(maybe | F.col("sent").rlike("[0-9]"))
     t = s.select("post", "s_ix", "sent",
                  F.posexplode(F.filter(F.split("sent", WS), lambda x: x != "")).alias("pos", "tok"))
     t = t.select("post", "s_ix", "sent", "pos", strip_punct_lower("tok").alias("lt"),
