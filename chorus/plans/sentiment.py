@@ -231,8 +231,8 @@ _THR_STRIP = _sent_views(
                         row_number() OVER (PARTITION BY post_id, thread_ix ORDER BY reply_ix) AS rr
                       FROM kept WHERE reply_ix > 0) WHERE rr <= 2""",
           "tops": f"""SELECT k.post_id, k.thread_ix, {_CLS} AS cls, {_BUCKET} AS bucket,
-                        coalesce(sum(1 + coalesce(c.nr, 0)) OVER (PARTITION BY k.post_id ORDER BY k.thread_ix
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor
+                        CAST(coalesce(sum(1 + coalesce(c.nr, 0)) OVER (PARTITION BY k.post_id ORDER BY k.thread_ix
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cursor
                       FROM kept k LEFT JOIN (SELECT post_id, thread_ix, count(*) AS nr FROM reps GROUP BY 1, 2) c
                         ON k.post_id = c.post_id AND k.thread_ix = c.thread_ix
                       WHERE k.reply_ix = 0"""})
