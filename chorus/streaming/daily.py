@@ -42,13 +42,18 @@ def _utc_day(ts) -> F.Column:
 
 
 def stream_daily_sentiment(spark, source_dir: str, out_dir: str, checkpoint: str,
-                           files_per_trigger: int = 1) -> DataFrame:
+                           files_per_trigger: int = 1, output_mode: str = "complete",
+                           glob: str = "events.parquet") -> DataFrame:
     """Events read as a file stream, 1-day tumbling windows per topic and
-    source under a 1-day watermark, in complete mode; each micro-batch
-    replaces the result table (foreachBatch), which is returned read back."""
-    from chorus.sources.tables import read
-    schema = read(spark, source_dir, "events").schema
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    source under a 1-day watermark. In complete mode each micro-batch
+    replaces the result table; in append mode a day is written once the
+    watermark has passed its end, and rows arriving later for it are
+    dropped. The result is returned read back."""
+    schema = spark.read.parquet(source_dir).schema if glob != "events.parquet" else None
+    if schema is None:
+        from chorus.sources.tables import read
+        schema = read(spark, source_dir, "events").schema
+    ev = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
           .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
     sc = event_scores(ev).withColumn("et", event_time(F.col("ts")))
     agg = (sc.withWatermark("et", "1 day")
@@ -56,9 +61,10 @@ def stream_daily_sentiment(spark, source_dir: str, out_dir: str, checkpoint: str
 
     def sink(batch: DataFrame, _epoch: int) -> None:
         batch.select(_utc_day(F.col("w.start")).alias("day"), "topic_id", "source", "positive_count",
-                     "negative_count", "neutral_count", "avg_confidence").write.mode("overwrite").parquet(out_dir)
+                     "negative_count", "neutral_count", "avg_confidence") \
+            .write.mode("overwrite" if output_mode == "complete" else "append").parquet(out_dir)
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
+    q = (agg.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out_dir)
