@@ -106,6 +106,14 @@ def test_compact_score(spark):
     ("good!", 0.4926),                      # sum 1.9 + 0.292
     ("GOOD day", 0.5622),                   # caps: 1.9 + 0.733
     ("good but bad", -0.5859),              # 1.9 * 0.5 - 2.5 * 1.5
+    ("not very good", -0.3865),             # (1.9 + 0.293) * -0.74: negation two tokens back
+    ("never so good", 0.5777),              # (1.9 + 0.293) * 1.25
+    ("no good", -0.3412),                   # "no" before a lexicon word scores 0; good * -0.74
+    ("the least good", -0.3412),            # least, not after at/very: * -0.74
+    ("at least good", 0.4404),              # at least: unchanged
+    ("good??", 0.504),                      # 2-3 question marks: 0.18 each
+    ("good!!!!!!", 0.6209),                 # at most 4 exclamation marks count
+    ("very bad", -0.5849),                  # booster sign follows the valence
 ])
 def test_sentiment_rules(spark, text, compound):
     df = spark.createDataFrame([("a", text)], "id string, t string")
