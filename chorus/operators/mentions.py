@@ -199,8 +199,11 @@ def combined_mentions(m: DataFrame) -> DataFrame:
 
 
 def model_mentions(df: DataFrame, id_col: str, title_col: str, text_col: str) -> DataFrame:
-    """T4: all mentions of each post; ``is_combined`` marks the J8 rows, which come last."""
-    m = sentence_mentions(df, id_col, title_col, text_col)
+    """T4: all mentions of each post; ``is_combined`` marks the J8 rows, which come last.
+    The per-sentence mentions (a small table: mentions are rare) are written
+    once to the shared checkpoint folder, because J8 reads them three times."""
+    from chorus.session import cut_lineage
+    m = cut_lineage(sentence_mentions(df, id_col, title_col, text_col))
     comb = combined_mentions(m)
     o = F.lit(None).cast("struct<step:int,pos:int,mi:int>")
     return m.withColumns({"is_combined": F.lit(False), "o1": o, "o2": o}).unionByName(
