@@ -174,3 +174,13 @@ def doc_ids(batch, a: int, b: int, col: str = "doc_id") -> np.ndarray:
     """int64 ids of rows a..b; null becomes NULL_ID."""
     import pyarrow.compute as pc
     return pc.fill_null(batch.column(col).slice(a, b - a), NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def worker_cache(key, make):
+    """``make()`` once per Python worker process and key (workers serve many tasks)."""
+    import sys
+    import types
+    store = sys.modules.setdefault("_chorus_llm_cache", types.ModuleType("_chorus_llm_cache")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chorus.llm import mixing, sharding, simhash, substring_dedup
+from chorus.llm import fingerprints, language_id, mixing, sharding, simhash, substring_dedup
 from chorus.llm.common import read
 
 
@@ -12,7 +12,9 @@ def _docs(fn):
 
 QUERIES = {
     "op1_substring_dedup": (_docs(substring_dedup.op1), substring_dedup.OP1_SQL),
+    "op2_weighted_fingerprints": (_docs(fingerprints.op2), None),
     "op3_sharding": (_docs(sharding.op3), None),
+    "op5_language_id": (_docs(language_id.op5), None),
     "op6_mixing": (_docs(mixing.op6), mixing.OP6_SQL),
     "op9_simhash": (_docs(simhash.op9), None),
 }
