@@ -15,7 +15,7 @@ from chorus.session import ensure_checkpoint_dir
 # White space of the word definition [^\x20\x09-\x0D]+
 WS = "\\x20\\x09-\\x0D"
 # Bytes of text worked on at once inside a task (a longer document is one piece).
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 NULL_ID = (1 << 63) - 1  # stands for a null doc_id inside tasks: sorts last
 
 

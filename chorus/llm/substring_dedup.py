@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from chorus.llm.common import NULL_ID, doc_ids, pieces, text_bytes, word_bounds, word_codes
 
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-CHUNK_WINDOWS = 2_000_000  # windows a task holds before it packs them
+CHUNK_WINDOWS = 1_500_000  # windows a task holds before it packs them
 BUCKET_BYTES = 16 << 20    # text bytes whose windows make one bucket
 PART_BYTES = 8 << 20       # text bytes of the documents that are rewritten together
 
