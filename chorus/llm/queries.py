@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chorus.llm import decontamination, fingerprints, language_id, mixing, sharding, simhash, substring_dedup
+from chorus.llm import decontamination, fingerprints, language_id, mixing, sharding, simhash, substring_dedup, warc
 from chorus.llm.common import read
 
 
@@ -19,4 +19,5 @@ QUERIES = {
     "op8_decontamination": (lambda spark, sf_dir: decontamination.op8(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")), None),
     "op9_simhash": (_docs(simhash.op9), None),
+    "op10_warc": (lambda spark, sf_dir: warc.op10(read(spark, sf_dir, "pages")), warc.OP10_SQL),
 }
