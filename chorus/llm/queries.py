@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chorus.llm import decontamination, fingerprints, language_id, mixing, sharding, simhash, substring_dedup, warc
+from chorus.llm import decontamination, fingerprints, language_id, mixing, sharding, simhash, substring_dedup, token_counts, warc
 from chorus.llm.common import read
 
 
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_sharding": (_docs(sharding.op3), None),
     "op5_language_id": (_docs(language_id.op5), None),
     "op6_mixing": (_docs(mixing.op6), mixing.OP6_SQL),
+    "op7_token_counts": (_docs(token_counts.op7), None),
     "op8_decontamination": (lambda spark, sf_dir: decontamination.op8(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")), None),
     "op9_simhash": (_docs(simhash.op9), None),
