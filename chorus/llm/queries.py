@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chorus.llm import decontamination, fingerprints, language_id, mixing, sharding, simhash, substring_dedup, token_counts, warc
+from chorus.llm import decontamination, fingerprints, language_id, line_dedup, mixing, sharding, simhash, substring_dedup, token_counts, warc
 from chorus.llm.common import read
 
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_substring_dedup": (_docs(substring_dedup.op1), substring_dedup.OP1_SQL),
     "op2_weighted_fingerprints": (_docs(fingerprints.op2), None),
     "op3_sharding": (_docs(sharding.op3), None),
+    "op4_line_dedup": (_docs(line_dedup.op4), None),
     "op5_language_id": (_docs(language_id.op5), None),
     "op6_mixing": (_docs(mixing.op6), mixing.OP6_SQL),
     "op7_token_counts": (_docs(token_counts.op7), None),
