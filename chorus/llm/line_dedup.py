@@ -7,11 +7,12 @@ n - ceil(4n/5) + 1 rarest words. Prefix entries meet by word; pairs there pass
 - the length filter: 5 min(n) >= 4 max(n);
 - the positional filter: the words still to come must allow the overlap
   ceil(4 (n1 + n2) / 9);
-- a bitmap filter: 64 parity bits of the word sets differ in no more places than
+- a bitmap filter: 128 parity bits of the word sets differ in no more places than
   the sets may differ in words. It never drops a true pair.
 
-Lines that survive are fetched, and the Jaccard similarity of their full word
-sets is verified. A line goes if an earlier line, by (doc_id, line number),
+Lines that survive are fetched, each later line with its partners (or, in a group
+of over ``SMALL`` lines, the whole group once), and the Jaccard similarity of
+their full word sets is verified. A line goes if an earlier line, by (doc_id, line number),
 matches it. Equal sets are collapsed first, in the task and then by hash, so a
 line that a third of all documents share is one entry per task chunk.
 
@@ -32,6 +33,7 @@ SLOTS = 1 << 20
 RANGES = 64
 HOT = 200_000
 CHUNK_LINES = 60_000
+SMALL = 64  # largest group whose pairs are listed
 BUCKET_BYTES = 16 << 20
 PART_BYTES = 8 << 20
 U = np.uint64
@@ -80,6 +82,12 @@ def _grouped(key: np.ndarray, *columns: np.ndarray):
         yield int(key[a]), pack(*[c[a:b] for c in columns])
 
 
+def parity(code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 parity bits, in two halves, of the word sets that start at ``first``."""
+    bit, half = U(1) << (code >> U(38) & U(63)), code >> U(37) & U(1)
+    return tuple(np.bitwise_xor.reduceat(bit * (half == U(h)), first) for h in (0, 1))
+
+
 def _rows(kinds, keys, raws):
     import pyarrow as pa
     for i in range(0, len(raws), 128):
@@ -147,8 +155,8 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
 def _entries(rarity, n_buckets, n_parts):
     """Prefix entries by bucket; repeats within the chunk are reported at once."""
     def flush(held):
-        ids, number, n, bits, digest, words, codes, seen, place = held
-        ids, number, n, bits, digest = (np.concatenate(x) for x in (ids, number, n, bits, digest))
+        ids, number, n, bits, more, digest, words, codes, seen, place = held
+        ids, number, n, bits, more, digest = (np.concatenate(x) for x in (ids, number, n, bits, more, digest))
         codes, seen, place = (np.concatenate(x) for x in (codes, seen, place))
         kinds, keys, raws = [], [], []
         order = np.lexsort((number, ids, n, bits, digest))
@@ -174,14 +182,14 @@ def _entries(rarity, n_buckets, n_parts):
         group = mix64(codes[at] + p.astype(U) * U(0xD6E8FEB86659FD93) + q.astype(U) * U(0xA0761D6478BD642F))
         line = line[at]
         for b, raw in _grouped((group >> U(40)).astype(np.int64) % n_buckets, ids[line], number[line],
-                               group & U(0xFFFFFFFFFFFF), n[line], place[at], bits[line], digest[line]):
+                               group & U(0xFFFFFFFFFFFF), n[line], place[at], bits[line], more[line], digest[line]):
             kinds.append(ENTRIES)
             keys.append(b)
             raws.append(raw)
         yield from _rows(kinds, keys, raws)
 
     def run(batches):
-        held = [[] for _ in range(9)]
+        held = [[] for _ in range(10)]
         total = 0
         for batch, a, b, data, offs in pieces(batches):
             line, codes, seen, doc, number = _line_sets(data, offs, rarity)
@@ -193,7 +201,7 @@ def _entries(rarity, n_buckets, n_parts):
             prefix = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
             which = line[first]
             for h, x in zip(held, (doc_ids(batch, a, b)[doc[which]], number[which], n,
-                                   np.bitwise_xor.reduceat(U(1) << (codes >> U(38) & U(63)), first),
+                                   *parity(codes, first),
                                    np.add.reduceat(mix64(codes), first),
                                    np.add.reduceat(prefix.astype(np.int64), first),
                                    codes[prefix], seen[prefix], place[prefix])):
@@ -201,7 +209,7 @@ def _entries(rarity, n_buckets, n_parts):
             total += len(which)
             if total >= CHUNK_LINES:
                 yield from flush(held)
-                held, total = [[] for _ in range(9)], 0
+                held, total = [[] for _ in range(10)], 0
         if total:
             yield from flush(held)
     return run
@@ -209,16 +217,27 @@ def _entries(rarity, n_buckets, n_parts):
 
 # ---------------------------------------------------------------- 2. candidates
 
-def _passing(n, place, bits, i, j):
+def _passing(n, place, bits, more, i, j):
     """Length, positional and bitmap filters of pairs (i, j)."""
     a, b = n[i], n[j]
     need = (4 * (a + b) + 8) // 9
     ok = 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
     ok &= np.minimum(place[i], place[j]) + 1 + np.minimum(a - place[i], b - place[j]) - 1 >= need
-    ok &= np.bitwise_count(bits[i] ^ bits[j]) <= a + b - 2 * need
+    far = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
+    ok &= far <= a + b - 2 * need
     return ok
 
 
+def _unique(n_parts, ids, number, group):
+    """Distinct requests by document part."""
+    order = np.lexsort((group, number, ids))
+    ids, number, group = ids[order], number[order], group[order]
+    if len(ids):
+        new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (number[1:] != number[:-1]) | (group[1:] != group[:-1])))
+        ids, number, group = ids[new], number[new], group[new]
+    return _grouped(_part(ids, n_parts), ids, number, group)
+
+
 def _candidates(n_parts):
     """One bucket of entries: repeated sets are reported, lines with a partner requested."""
     def run(key, table):
@@ -228,15 +247,16 @@ def _candidates(n_parts):
             if kind == ENTRIES:
                 held.append(unpack(data.as_py()))
         if held:
-            ids, number, group, n, place, bits, digest = (np.concatenate(x) for x in zip(*held))
+            ids, number, group, n, place, bits, more, digest = (np.concatenate(x) for x in zip(*held))
             del held
             order = np.argsort(group, kind="stable")
             same = group[order][1:] == group[order][:-1]
             order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
             ids, number, n, place = (x[order].astype(np.int64) for x in (ids, number, n, place))
-            group, bits, digest = group[order], bits[order], digest[order]
+            group, bits, more, digest = group[order], bits[order], more[order], digest[order]
             order = np.lexsort((number, ids, n, bits, digest, group))
-            ids, number, group, n, place, bits, digest = (x[order] for x in (ids, number, group, n, place, bits, digest))
+            ids, number, group, n, place, bits, more, digest = (
+                x[order] for x in (ids, number, group, n, place, bits, more, digest))
             again = np.zeros(len(ids), bool)
             again[1:] = (group[1:] == group[:-1]) & (digest[1:] == digest[:-1]) & (bits[1:] == bits[:-1]) & (n[1:] == n[:-1])
             first = np.maximum.accumulate(np.where(~again, np.arange(len(ids)), 0)) if len(ids) else ids
@@ -245,28 +265,31 @@ def _candidates(n_parts):
                 kinds.append(REPORT)
                 keys.append(part)
                 raws.append(raw)
-            ids, number, group, n, place, bits = (x[~again] for x in (ids, number, group, n, place, bits))
-            wanted = np.zeros(len(ids), bool)
+            ids, number, group, n, place, bits, more = (x[~again] for x in (ids, number, group, n, place, bits, more))
+            wanted, ask = np.zeros(len(ids), bool), []
             edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if len(ids) else np.zeros(1, int)
             size = np.diff(edges)
             # each line against the following ones of its group, a distance at a time
             begin = np.repeat(edges[:-1], size) if len(size) else edges[:0]
             left = np.repeat(edges[1:], size) - np.arange(len(ids)) - 1 if len(size) else begin
-            small = np.repeat(size <= 256, size) if len(size) else begin.astype(bool)
+            small = np.repeat(size <= SMALL, size) if len(size) else begin.astype(bool)
             i, d = np.flatnonzero(small & (left > 0)), 1
             while len(i):
-                ok = _passing(n, place, bits, i, i + d)
-                wanted[i[ok]] = True
-                wanted[i[ok] + d] = True
+                a = i[_passing(n, place, bits, more, i, i + d)]
+                later = (ids[a] > ids[a + d]) | ((ids[a] == ids[a + d]) & (number[a] > number[a + d]))
+                x = np.where(later, a, a + d)
+                own = mix64(ids[x].view(U) * U(0x9E3779B97F4A7C15) + number[x].astype(U)) | U(1 << 63)
+                ask += [(ids[a], number[a], own), (ids[a + d], number[a + d], own)]
                 d += 1
                 i = i[left[i] >= d]
-            for g in np.flatnonzero(size > 256):
+            for g in np.flatnonzero(size > SMALL):
                 for x in range(edges[g], edges[g + 1]):
                     y = np.arange(x + 1, edges[g + 1])
-                    y = y[_passing(n, place, bits, np.full(len(y), x), y)]
+                    y = y[_passing(n, place, bits, more, np.full(len(y), x), y)]
                     wanted[y] = True
                     wanted[x] |= len(y) > 0
-            for part, raw in _grouped(_part(ids[wanted], n_parts), ids[wanted], number[wanted], group[wanted]):
+            ask.append((ids[wanted], number[wanted], group[wanted]))
+            for part, raw in _unique(n_parts, *(np.concatenate(x) for x in zip(*ask))):
                 kinds.append(REQUEST)
                 keys.append(part)
                 raws.append(raw)
@@ -290,6 +313,7 @@ def _fetch(n_buckets):
         held = [unpack(x.as_py()) for x in requests.column("data")]
         if held and docs.num_rows:
             ids, number, group = (np.concatenate(x) for x in zip(*held))
+            ids, number, group = (unpack(next(_unique(1, ids.astype(np.int64), number.astype(np.int64), group))[1]))
             ids, number = ids.astype(np.int64), number.astype(np.int64)
             batch = docs.combine_chunks().to_batches()
             got = []
@@ -328,7 +352,7 @@ def _verify(n_parts):
         first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (k[1:] != k[:-1]))))
         end = np.concatenate((first[1:], [len(g)]))
         n = end - first
-        bits = np.bitwise_xor.reduceat(U(1) << (code >> U(38) & U(63)), first)
+        bits, more = parity(code, first)
         edges = np.flatnonzero(np.concatenate(([True], g[first][1:] != g[first][:-1], [True])))
         gone = np.zeros(len(first), bool)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -340,7 +364,7 @@ def _verify(n_parts):
                 return sets[x]
             for x in range(a + 1, b):
                 need = (4 * (n[a:x] + n[x]) + 8) // 9
-                far = np.bitwise_count(bits[a:x] ^ bits[x])
+                far = np.bitwise_count(bits[a:x] ^ bits[x]).astype(np.int64) + np.bitwise_count(more[a:x] ^ more[x])
                 y = np.flatnonzero((far <= n[a:x] + n[x] - 2 * need) & (5 * np.minimum(n[a:x], n[x]) >= 4 * np.maximum(n[a:x], n[x])))
                 for z in y[np.argsort(far[y], kind="stable")].tolist():  # likeliest first
                     if len(words(x) & words(a + z)) >= need[z]:
