@@ -27,13 +27,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import NULL_ID, cut, doc_ids, mix64, pieces, text_bytes, word_bounds, word_codes
+from chorus.llm.common import (
+    NULL_ID, cut, doc_ids, mix64, packed_parts, part_of, pieces, text_bytes, unpack_part, word_bounds, word_codes)
 
-SLOTS = 1 << 20
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
 RANGES = 64
 HOT = 200_000
 CHUNK_LINES = 60_000
-SMALL = 64  # largest group whose pairs are listed
+SMALL = 12    # largest group whose pairs are listed
+STEPS = 4096  # largest group compared a distance at a time
 BUCKET_BYTES = 16 << 20
 PART_BYTES = 8 << 20
 U = np.uint64
@@ -68,11 +71,6 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def _part(ids: np.ndarray, n_parts: int) -> np.ndarray:
-    x = ids.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15)
-    return ((x >> U(32)) % U(n_parts)).astype(np.int64)
-
-
 def _grouped(key: np.ndarray, *columns: np.ndarray):
     """(key, packed columns) per distinct key; rows sorted by the columns."""
     order = np.lexsort((*columns[::-1], key))
@@ -111,7 +109,7 @@ def _line_sets(data, offs, rarity):
     starts, ends, _ = word_bounds(data, offs)
     codes = word_codes(data, starts, ends)
     line = np.searchsorted(begin, starts, "right") - 1
-    seen = rarity[(codes >> U(44)).astype(np.int64)] if rarity is not None else np.zeros(len(codes), np.int64)
+    seen = rarity[(codes >> U(64 - SLOT_BITS)).astype(np.int64)] if rarity is not None else np.zeros(len(codes), np.int64)
     order = np.lexsort((codes, seen, line))
     line, codes, seen = line[order], codes[order], seen[order]
     if len(line):
@@ -126,27 +124,33 @@ def _line_sets(data, offs, rarity):
 
 def _count(batches):
     """Word counts of a task by slot, as RANGES rows."""
-    counts = np.zeros(SLOTS, np.int64)
+    counts = np.zeros(SLOTS, np.int32)
     for _batch, _a, _b, data, offs in pieces(batches):
         starts, ends, _ = word_bounds(data, offs)
-        counts += np.bincount((word_codes(data, starts, ends) >> U(44)).astype(np.int64), minlength=SLOTS)
+        at, n = np.unique((word_codes(data, starts, ends) >> U(64 - SLOT_BITS)).astype(np.int64), return_counts=True)
+        counts[at] += n.astype(np.int32)
     parts = counts.reshape(RANGES, -1)
-    yield from _rows([0] * RANGES, list(range(RANGES)), [p.astype("<i8").tobytes() for p in parts])
+    used = [np.flatnonzero(p) for p in parts]
+    yield from _rows([0] * RANGES, list(range(RANGES)), [pack(u, p[u]) for u, p in zip(used, parts)])
 
 
 def _add(key, table):
     import pyarrow as pa
-    total = np.sum([np.frombuffer(x.as_py(), "<i8") for x in table.column("data")], axis=0)
+    total = np.zeros(SLOTS // RANGES, np.int64)
+    for x in table.column("data"):
+        at, n = unpack(x.as_py())
+        total[at.astype(np.int64)] += n.astype(np.int64)
+    total = np.minimum(total, 0x7FFFFFFF)
     return pa.table({"kind": pa.array([0], pa.int32()), "key": pa.array([key[0].as_py()], pa.int64()),
-                     "data": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+                     "data": pa.array([total.astype("<i4").tobytes()], pa.binary())})
 
 
 def word_rarity(docs: DataFrame) -> np.ndarray:
-    """Counts of the SLOTS hashed slots over all documents (8 MB at any input size)."""
+    """Counts of the SLOTS hashed slots over all documents (16 MB at any input size)."""
     rows = docs.mapInArrow(_count, ROW).groupBy("key").applyInArrow(_add, ROW).collect()
-    out = np.zeros((RANGES, SLOTS // RANGES), np.int64)
+    out = np.zeros((RANGES, SLOTS // RANGES), np.int32)
     for r in rows:
-        out[r["key"]] = np.frombuffer(r["data"], "<i8")
+        out[r["key"]] = np.frombuffer(r["data"], "<i4")
     return out.ravel()
 
 
@@ -164,14 +168,14 @@ def _entries(rarity, n_buckets, n_parts):
                                & (n[order][1:] == n[order][:-1])))
         first = order[np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))]
         later = order[same & ((ids[order] != ids[first]) | (number[order] != number[first]))]
-        for part, raw in _grouped(_part(ids[later], n_parts), ids[later], number[later]):
+        for part, raw in _grouped(part_of(ids[later], n_parts), ids[later], number[later]):
             kinds.append(REPORT)
             keys.append(part)
             raws.append(raw)
         own = np.zeros(len(ids), bool)
         own[order[~same]] = True
         line = np.repeat(np.arange(len(ids)), np.concatenate(words))
-        keep = own[line]
+        keep = own[line] & (seen > 1)  # a word that occurs once has no partner
         line, codes, seen, place = line[keep], codes[keep], seen[keep], place[keep]
         # words counted over HOT times: every pair of salts is a group of its own
         salts = np.maximum(1, -(-seen // HOT))
@@ -182,7 +186,7 @@ def _entries(rarity, n_buckets, n_parts):
         group = mix64(codes[at] + p.astype(U) * U(0xD6E8FEB86659FD93) + q.astype(U) * U(0xA0761D6478BD642F))
         line = line[at]
         for b, raw in _grouped((group >> U(40)).astype(np.int64) % n_buckets, ids[line], number[line],
-                               group & U(0xFFFFFFFFFFFF), n[line], place[at], bits[line], more[line], digest[line]):
+                               group & U(0xFFFFFFFFFFFF), n[line], place[at], bits[line], more[line], digest[line] & U(0xFFFFFFFFFF)):
             kinds.append(ENTRIES)
             keys.append(b)
             raws.append(raw)
@@ -235,7 +239,7 @@ def _unique(n_parts, ids, number, group):
     if len(ids):
         new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (number[1:] != number[:-1]) | (group[1:] != group[:-1])))
         ids, number, group = ids[new], number[new], group[new]
-    return _grouped(_part(ids, n_parts), ids, number, group)
+    return _grouped(part_of(ids, n_parts), ids, number, group)
 
 
 def _candidates(n_parts):
@@ -261,7 +265,7 @@ def _candidates(n_parts):
             again[1:] = (group[1:] == group[:-1]) & (digest[1:] == digest[:-1]) & (bits[1:] == bits[:-1]) & (n[1:] == n[:-1])
             first = np.maximum.accumulate(np.where(~again, np.arange(len(ids)), 0)) if len(ids) else ids
             later = again & (place == 0) & ((ids != ids[first]) | (number != number[first]))
-            for part, raw in _grouped(_part(ids[later], n_parts), ids[later], number[later]):
+            for part, raw in _grouped(part_of(ids[later], n_parts), ids[later], number[later]):
                 kinds.append(REPORT)
                 keys.append(part)
                 raws.append(raw)
@@ -271,25 +275,36 @@ def _candidates(n_parts):
             size = np.diff(edges)
             # each line against the following ones of its group, a distance at a time
             begin = np.repeat(edges[:-1], size) if len(size) else edges[:0]
+            many = np.repeat(size > SMALL, size) if len(size) else np.zeros(0, bool)
             left = np.repeat(edges[1:], size) - np.arange(len(ids)) - 1 if len(size) else begin
-            small = np.repeat(size <= SMALL, size) if len(size) else begin.astype(bool)
+            small = np.repeat(size <= STEPS, size) if len(size) else begin.astype(bool)
             i, d = np.flatnonzero(small & (left > 0)), 1
             while len(i):
                 a = i[_passing(n, place, bits, more, i, i + d)]
+                big = many[a]
+                wanted[a[big]] = True
+                wanted[a[big] + d] = True
+                a = a[~big]
                 later = (ids[a] > ids[a + d]) | ((ids[a] == ids[a + d]) & (number[a] > number[a + d]))
                 x = np.where(later, a, a + d)
                 own = mix64(ids[x].view(U) * U(0x9E3779B97F4A7C15) + number[x].astype(U)) | U(1 << 63)
                 ask += [(ids[a], number[a], own), (ids[a + d], number[a + d], own)]
                 d += 1
                 i = i[left[i] >= d]
-            for g in np.flatnonzero(size > SMALL):
+            for g in np.flatnonzero(size > STEPS):
                 for x in range(edges[g], edges[g + 1]):
                     y = np.arange(x + 1, edges[g + 1])
                     y = y[_passing(n, place, bits, more, np.full(len(y), x), y)]
                     wanted[y] = True
                     wanted[x] |= len(y) > 0
-            ask.append((ids[wanted], number[wanted], group[wanted]))
-            for part, raw in _unique(n_parts, *(np.concatenate(x) for x in zip(*ask))):
+            # equal member sets get one name, so groups of several shared words are fetched once
+            w = np.flatnonzero(wanted)
+            if len(w):
+                own = mix64(ids[w].view(U) * U(0x9E3779B97F4A7C15) + number[w].astype(U))
+                cuts = np.flatnonzero(np.concatenate(([True], group[w][1:] != group[w][:-1])))
+                name = mix64(np.add.reduceat(own, cuts)) >> U(1)
+                ask.append((ids[w], number[w], np.repeat(name, np.diff(np.concatenate((cuts, [len(w)]))))))
+            for part, raw in _unique(n_parts, *(np.concatenate(x) for x in zip(*ask))) if ask else ():
                 kinds.append(REQUEST)
                 keys.append(part)
                 raws.append(raw)
@@ -315,9 +330,8 @@ def _fetch(n_buckets):
             ids, number, group = (np.concatenate(x) for x in zip(*held))
             ids, number, group = (unpack(next(_unique(1, ids.astype(np.int64), number.astype(np.int64), group))[1]))
             ids, number = ids.astype(np.int64), number.astype(np.int64)
-            batch = docs.combine_chunks().to_batches()
             got = []
-            for piece in pieces(batch):
+            for piece in pieces(unpack_part(docs)):
                 rb, a, b, data, offs = piece
                 line, codes, _, doc, num = _line_sets(data, offs, None)
                 at = np.searchsorted(line, np.arange(len(doc) + 1))
@@ -325,7 +339,7 @@ def _fetch(n_buckets):
                 for i, k, g in zip(ids.tolist(), number.tolist(), group.tolist()):
                     x = own.get((i, k))
                     if x is not None and at[x + 1] > at[x]:
-                        got.append((g, i, k, codes[at[x]:at[x + 1]]))
+                        got.append((g, i, k, codes[at[x]:at[x + 1]] & U(0xFFFFFFFFFFFF)))
             if got:
                 size = [len(x[3]) for x in got]
                 g = np.repeat(np.array([x[0] for x in got], U), size)
@@ -372,7 +386,7 @@ def _verify(n_parts):
                         break
         ids, number = i[first][gone], k[first][gone]
         kinds, keys, raws = [], [], []
-        for part, raw in _grouped(_part(ids, n_parts), ids, number):
+        for part, raw in _grouped(part_of(ids, n_parts), ids, number):
             kinds.append(REPORT)
             keys.append(part)
             raws.append(raw)
@@ -390,27 +404,20 @@ def _rewrite(key, docs, reports):
     for ids, number in held:
         for i, k in zip(ids.astype(np.int64).tolist(), number.tolist()):
             gone.setdefault(i, set()).add(k)
-    n, dropped, kept = [], [], []
-    for i, text in zip(docs.column("doc_id").to_pylist(), docs.column("text")):
+    doc, n, dropped, kept = [], [], [], []
+    for i, text in ((i, t) for batch in unpack_part(docs)
+                    for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
+        doc.append(i)
         lines = (text.as_py() or "").split("\n")
         out = gone.get(NULL_ID if i is None else i, ())
         rest = [x for j, x in enumerate(lines) if j not in out] if out else lines
         n.append(len(lines) if text.is_valid else 0)
         dropped.append(len(lines) - len(rest))
         kept.append("\n".join(rest))
-    return pa.table([docs.column("doc_id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()),
+    return pa.table([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()),
                      pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_text"])
 
 
-def _with_part(n_parts):
-    def run(batches):
-        import pyarrow as pa
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(_part(doc_ids(batch, 0, batch.num_rows), n_parts))], ["doc_id", "text", "part"])
-    return run
-
-
 def line_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_text) per document of (doc_id, text): lines with
     an earlier line of Jaccard similarity 0.8 or more go (judged on the input).
@@ -430,7 +437,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     found = docs.mapInArrow(entries, ROW).select(
         "kind", "data", F.col("key").alias("part"), F.pmod("key", F.lit(n_buckets)).alias("bucket"))
     found = cut(found.groupBy("bucket").applyInArrow(_candidates(n_parts), ROW))
-    homes = docs.mapInArrow(_with_part(n_parts), "doc_id long, text string, part long").groupBy("part")
+    homes = packed_parts(docs, n_parts).groupBy("part")
     fetched = homes.cogroup(found.where(F.col("kind") == REQUEST).groupBy("key")).applyInArrow(_fetch(n_buckets), ROW)
     verified = fetched.groupBy("key").applyInArrow(_verify(n_parts), ROW)
     reports = found.where(F.col("kind") == REPORT).union(verified)

@@ -19,7 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import NULL_ID, doc_ids, pieces, text_bytes, word_bounds, word_codes
+from chorus.llm.common import (
+    NULL_ID, doc_ids, packed_parts, part_of, pieces, text_bytes, unpack_part, word_bounds, word_codes)
 
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 CHUNK_WINDOWS = 1_500_000  # windows a task holds before it packs them
@@ -81,7 +82,7 @@ def _by_part(ids: np.ndarray, places: np.ndarray, n_parts: int):
     """(part, packed) of the document parts."""
     order = np.lexsort((places, ids))
     ids, places = ids[order], places[order]
-    part = _part(ids, n_parts)
+    part = part_of(ids, n_parts)
     order = np.argsort(part, kind="stable")
     ids, places, part = ids[order], places[order], part[order]
     edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
@@ -89,11 +90,6 @@ def _by_part(ids: np.ndarray, places: np.ndarray, n_parts: int):
         yield int(part[a]), pack(ids[a:b], places[a:b])
 
 
-def _part(ids: np.ndarray, n_parts: int) -> np.ndarray:
-    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
-
-
 def _scatter(width: int, n_buckets: int, n_parts: int):
     def flush(held):
         import pyarrow as pa
@@ -194,9 +190,10 @@ def _rewrite(width: int):
         place = np.concatenate([x[1] for x in held]) if held else ids
         order = np.lexsort((place, ids))
         ids, place = ids[order], place[order]
-        out_ids = docs.column("doc_id")
-        n, gone, spans, kept = [], [], [], []
-        for i, text in zip(out_ids.to_pylist(), docs.column("text")):
+        out_ids, n, gone, spans, kept = [], [], [], [], []
+        for i, text in ((i, t) for batch in unpack_part(docs)
+                        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
+            out_ids.append(i)
             words = (text.as_py() or "").encode().split()
             i = NULL_ID if i is None else i
             a, b = np.searchsorted(ids, i, "left"), np.searchsorted(ids, i, "right")
@@ -212,7 +209,7 @@ def _rewrite(width: int):
             gone.append(len(words) - len(rest))
             spans.append([{"start": x, "end": y} for x, y in own])
             kept.append(b" ".join(rest).decode())
-        return pa.table([out_ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+        return pa.table([pa.array(out_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
                          pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                          pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept_text"])
     return run
@@ -232,22 +229,11 @@ def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
     n_buckets, n_parts = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // PART_BYTES))
     windows = docs.mapInArrow(_scatter(width, n_buckets, n_parts), "bucket long, part long, data binary")
     reports = windows.groupBy("bucket").applyInArrow(_judge(n_parts), "part long, data binary")
-    # the same rule as _part, so that documents meet their reports
-    udf_free = docs.mapInArrow(_with_part(n_parts), "doc_id long, text string, part long")
-    return udf_free.groupBy("part").cogroup(reports.groupBy("part")).applyInArrow(
+    return packed_parts(docs, n_parts).groupBy("part").cogroup(reports.groupBy("part")).applyInArrow(
         _rewrite(width), "doc_id long, n_words long, n_removed long, "
                          "spans array<struct<start:long,end:long>>, kept_text string")
 
 
-def _with_part(n_parts: int):
-    def run(batches):
-        import pyarrow as pa
-        for batch in batches:
-            part = _part(doc_ids(batch, 0, batch.num_rows), n_parts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], ["doc_id", "text", "part"])
-    return run
-
-
 def op1(docs: DataFrame) -> DataFrame:
     return substring_dedup(docs, 20).select("doc_id", "n_words", "n_removed",
                                             F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
