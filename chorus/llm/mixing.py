@@ -8,6 +8,8 @@ budget still allows. The row on the cut is taken in part."""
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,6 @@ from chorus.llm.common import bucket_sums, cut, hash_key, key_bucket, n_words, r
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-BUCKET_ROWS = 20_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -61,7 +62,7 @@ def mix_to_weights(docs: DataFrame, size: Column | None = None, weights=WEIGHTS,
                      (n_words(F.col("text")) if size is None else size.cast("long")).alias("size"))
     if light:
         df = cut(df)  # words are counted once
-    nb = max(1, -(-docs.count() // BUCKET_ROWS))
+    nb = max(1, isqrt(docs.count()))  # as many buckets as rows in one
     df = df.withColumn("_mx_b", key_bucket(F.col("_mx_key"), nb))
     per = bucket_sums(df, ["_mx_src"], "_mx_b", F.col("size"))
     targets = source_targets(per.groupBy(F.col("_mx_src").alias("_src")).agg(F.sum("_sum").alias("source_size")),

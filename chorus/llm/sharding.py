@@ -11,13 +11,13 @@ source with a third of all rows spreads over as many tasks as it has buckets."""
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus.llm.common import bucket_sums, hash_key, key_bucket, running_sum, source_key
 
-BUCKET_ROWS = 20_000
-
 
 def interleave_shards(docs: DataFrame, n_shards: int = 40, seed: int = 17,
                       carry: list[str] | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def interleave_shards(docs: DataFrame, n_shards: int = 40, seed: int = 17,
     carry = docs.columns if carry is None else carry
     kept = [c for c in carry if c not in ("shard", "slot")]
     n = docs.count()
-    nb = max(1, -(-n // BUCKET_ROWS))
+    nb = max(1, isqrt(n))  # as many buckets as rows in one
     df = docs.select(*kept, source_key(F.col("source")).alias("_il_src"),
                      hash_key(seed, F.col("doc_id"), F.md5(F.col("text").cast("binary"))).alias("_il_key"))
     df = df.withColumn("_il_b", key_bucket(F.col("_il_key"), nb))
@@ -50,10 +50,9 @@ def interleave_shards(docs: DataFrame, n_shards: int = 40, seed: int = 17,
 
 def op3(docs: DataFrame) -> DataFrame:
     """Contract columns: law ``rows`` (counts at most one apart)."""
-    text = F.col("text").cast("binary")
-    light = docs.select("doc_id", "text", "source")
-    out = interleave_shards(light, 40, carry=["doc_id", "text", "source"])
+    text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    rows = docs.select("doc_id", "text", "source", (F.octet_length(text) + 16).cast("long").alias("size"),
+                       F.crc32(text).alias("text_crc32"))
+    out = interleave_shards(rows, 40, carry=["doc_id", "size", "text_crc32"])  # the text itself stays behind
     return out.select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("").cast("binary"))).alias("text_crc32"),
-        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
