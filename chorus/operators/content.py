@@ -5,7 +5,7 @@ the contents of script/style elements are dropped, every other text node is
 kept (title, nav and footer included) and nodes are concatenated with no
 separator; entities are decoded (``&amp;`` last). The text is then split
 into lines, each line stripped and split on double spaces, the non-empty
-chunks joined with one space, and the result capped at 5,000 characters.
+chunks joined with one space; a length cap is a parameter, off by default.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PAGE_TEXT_CAP = 5000
+PAGE_TEXT_CAP = 5000  # the cap of the capped form
 
 # named/numeric entities decoded, "&amp;" applied last.
 ENTITIES = [
@@ -31,8 +31,8 @@ def _pystrip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
 
 
-def html_text(html: Column) -> Column:
-    """Visible text of an HTML document, capped at 5,000 characters."""
+def html_text(html: Column, cap: int | None = None) -> Column:
+    """Visible text of an HTML document; its first ``cap`` characters if given."""
     h = F.coalesce(html, F.lit(""))
     h = F.regexp_replace(h, r"(?s)<!--.*?-->", "")
     h = F.regexp_replace(h, r"(?is)<script\b[^>]*>.*?</script\s*>", "")
@@ -44,12 +44,13 @@ def html_text(html: Column) -> Column:
     lines = F.split(h, PY_LINES)
     chunks = F.flatten(F.transform(lines, lambda l: F.split(_pystrip(l), "  ")))
     kept = F.filter(F.transform(chunks, _pystrip), lambda c: c != "")
-    return F.substring(F.array_join(kept, " "), 1, PAGE_TEXT_CAP)
+    text = F.array_join(kept, " ")
+    return text if cap is None else F.substring(text, 1, cap)
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
+def page_texts(pages: DataFrame, cap: int | None = None) -> DataFrame:
     """(page_id, url, content_text) for every page."""
-    return pages.select("page_id", "url", html_text(F.col("html")).alias("content_text"))
+    return pages.select("page_id", "url", html_text(F.col("html"), cap).alias("content_text"))
 
 
 def content_records(eligible_posts: DataFrame, pages: DataFrame) -> DataFrame:

@@ -70,8 +70,7 @@ def source_quota(posts: DataFrame, limit: int) -> DataFrame:
 
 def term_quota(posts: DataFrame, terms: list[str], limit: int) -> DataFrame:
     """Per query term, the first max(2*limit // n_terms, 3) matching posts.
-    Terms are a short driver-side list (at most 10), exploded per row."""
-    terms = terms[:10]
+    Terms are a short driver-side list, exploded per row; all of them count."""
     quota = max(2 * limit // max(len(terms), 1), 3)
     txt = F.lower(F.concat(F.col("title"), F.lit(" "), F.col("selftext")))
     arr = F.array(*[F.struct(F.lit(i).alias("term_ix"), F.lit(t).alias("term")) for i, t in enumerate(terms)])

@@ -26,7 +26,7 @@ _SP = _re2(C.PY_SPACE)
 _LN = _re2(C.PY_LINES)
 
 
-def sql_html_text(col: str) -> str:
+def sql_html_text(col: str, cap: int | None = None) -> str:
     h = f"coalesce({col}, '')"
     for pat in [r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>",
                 r"(?s)<![^>]*>", r"(?s)</?[A-Za-z][^>]*>"]:
@@ -37,7 +37,8 @@ def sql_html_text(col: str) -> str:
     chunks = (f"flatten(list_transform(string_split_regex({h}, '{_LN}'), "
               f"lambda l: string_split({strip.replace('@X@', 'l')}, '  ')))")
     kept = f"list_filter(list_transform({chunks}, lambda c: {strip.replace('@X@', 'c')}), lambda c: c <> '')"
-    return f"substr(array_to_string({kept}, ' '), 1, {C.PAGE_TEXT_CAP})"
+    text = f"array_to_string({kept}, ' ')"
+    return text if cap is None else f"substr({text}, 1, {cap})"
 
 
 _ELIGIBLE = f"""
@@ -63,6 +64,12 @@ def page_text(spark, sf):
     return C.page_texts(read(spark, sf, "pages"))
 
 
+@query("page_text_capped", f"SELECT page_id, url, {sql_html_text('html', C.PAGE_TEXT_CAP)} AS content_text FROM pages")
+def page_text_capped(spark, sf):
+    """S7 with its length cap."""
+    return C.page_texts(read(spark, sf, "pages"), C.PAGE_TEXT_CAP)
+
+
 @query("content_records", with_views("SELECT post_id, url, content_text FROM content", "posts", extra=_CONTENT))
 def q_content_records(spark, sf):
     return content_records(spark, sf)

@@ -20,6 +20,7 @@ def _sent_views(src_sql: str, *views: str, more: dict | None = None):
     return lambda sql: with_views(sql, *views, extra=extra)
 
 
+_WHOLE = _sent_views("SELECT id AS sid, title || selftext AS text FROM posts", "plain_posts")
 _TITLE = _sent_views("SELECT id AS sid, title AS text FROM posts", "posts")
 
 
@@ -28,10 +29,12 @@ def title_scores(spark, sf):
     return sentiment_scores(p.select("id", "title"), "id", "title")
 
 
-@query("sentiment_scores", _TITLE("""
+@query("sentiment_scores", _WHOLE("""
 SELECT sid AS id, compound, positive, neutral, negative FROM sent_out"""))
 def q_sentiment_scores(spark, sf):
-    return title_scores(spark, sf)
+    """T1 on the whole text of every document."""
+    p = posts(spark, sf, golden=False).select("id", F.concat("title", "selftext").alias("text"))
+    return sentiment_scores(p, "id", "text")
 
 
 _LABEL_SQL = "CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END"
@@ -124,7 +127,7 @@ def q_result_projection(spark, sf):
 # ---------------------------------------------------------------- threads
 _THR = _sent_views(
     "SELECT CAST(post_id AS VARCHAR) || ':' || CAST(thread_ix AS VARCHAR) || ':' || CAST(reply_ix AS VARCHAR) AS sid, "
-    "text FROM threads", "threads",
+    "text FROM threads", "plain_threads",
     more={"thr": """SELECT t.post_id, t.thread_ix, t.reply_ix, t.text, s.compound FROM threads t JOIN sent_out s
                     ON s.sid = CAST(t.post_id AS VARCHAR) || ':' || CAST(t.thread_ix AS VARCHAR) || ':'
                                || CAST(t.reply_ix AS VARCHAR)""",
@@ -135,7 +138,7 @@ _THR = _sent_views(
 
 def thread_scores(spark, sf):
     """T2 input: every comment with its compound score."""
-    t = threads(spark, sf)
+    t = threads(spark, sf, tombstones=False)
     s = sentiment_scores(t, ["post_id", "thread_ix", "reply_ix"], "text")
     return t.join(s, ["post_id", "thread_ix", "reply_ix"])
 
@@ -177,7 +180,7 @@ def comment_label_counts(spark, sf):
 
 _THR_A3 = _sent_views(
     "SELECT CAST(post_id AS VARCHAR) || ':' || CAST(thread_ix AS VARCHAR) || ':' || CAST(reply_ix AS VARCHAR) AS sid, "
-    "text FROM threads", "threads", "posts",
+    "text FROM threads", "plain_threads", "posts",
     more={"thr": """SELECT t.post_id, t.thread_ix, t.reply_ix, t.text, s.compound FROM threads t JOIN sent_out s
                     ON s.sid = CAST(t.post_id AS VARCHAR) || ':' || CAST(t.thread_ix AS VARCHAR) || ':'
                                || CAST(t.reply_ix AS VARCHAR)""",
@@ -220,7 +223,7 @@ _BUCKET = ("CASE WHEN length(text) = 0 THEN 0 WHEN length(text) < 50 THEN 1 WHEN
            "WHEN length(text) < 800 THEN 6 ELSE 7 END")
 _THR_STRIP = _sent_views(
     "SELECT CAST(post_id AS VARCHAR) || ':' || CAST(thread_ix AS VARCHAR) || ':' || CAST(reply_ix AS VARCHAR) AS sid, "
-    "text FROM threads", "threads",
+    "text FROM threads", "plain_threads",
     more={"thr": """SELECT t.post_id, t.thread_ix, t.reply_ix, t.text, s.compound FROM threads t JOIN sent_out s
                     ON s.sid = CAST(t.post_id AS VARCHAR) || ':' || CAST(t.thread_ix AS VARCHAR) || ':'
                                || CAST(t.reply_ix AS VARCHAR)""",
@@ -260,13 +263,14 @@ def q_thread_strip(spark, sf):
     return line1.unionByName(line2).where((F.col("cursor") < 8) & (F.col("cell") < 8)).drop("cursor")
 
 
-@query("lexicon_join", _TITLE("""
+@query("lexicon_join", _WHOLE("""
 SELECT t.sid AS id, count(*) AS n_hits, round(sum(x.valence), 6) AS sum_valence
 FROM s_tok t JOIN lex x ON t.tok = x.token GROUP BY t.sid"""))
 def q_lexicon_join(spark, sf):
-    """Title tokens (as T1 splits them) joined to the broadcast lexicon."""
+    """The tokens of whole texts (as T1 splits them) joined to the broadcast lexicon."""
     from chorus.operators.sentiment import lexicon_for_join, token_rows
-    rows = token_rows(posts(spark, sf).select("id", "title"), ["id"], "title").where(F.col("i") >= 0)
+    rows = token_rows(posts(spark, sf, golden=False).select("id", F.concat("title", "selftext").alias("text")),
+                      ["id"], "text").where(F.col("i") >= 0)
     lex = lexicon_for_join(spark, None)
     j = rows.join(lex, rows.tok == lex.token)
     return j.groupBy(F.col("sid.id").alias("id")).agg(F.count(F.lit(1)).alias("n_hits"),

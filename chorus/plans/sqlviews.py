@@ -6,7 +6,7 @@ from __future__ import annotations
 from chorus import vocab
 from chorus.sources.tables import EPOCH_2024, N_GOLDEN
 
-_GOLDEN = "[" + ", ".join(vocab.sql_literal(t) for t in vocab.GOLDEN_TITLES) + "]"
+_GOLDEN = "[" + ", ".join(vocab.sql_literal(t) for t in vocab.TOPIC_TITLES) + "]"
 
 
 def _posts(golden: bool) -> str:
@@ -17,7 +17,7 @@ def _posts(golden: bool) -> str:
     CASE WHEN doc_id % 2 = 0 THEN 'Reddit' ELSE 'HackerNews' END AS source,
     CASE WHEN doc_id % 2 = 0 THEN d_source ELSE 'HackerNews' END AS subreddit,
     CASE WHEN g = '' THEN substr(fl, 1, 80) ELSE g || ' ' || substr(fl, 1, 80) END AS title,
-    CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(txt, length(fl) + 2) END AS selftext,
+    substr(txt, length(substr(fl, 1, 80)) + 1) AS selftext,
     n_chars AS score,
     doc_id % 37 AS num_comments,
     {EPOCH_2024} + (doc_id * 7919) % 2592000 AS created_epoch,
@@ -46,15 +46,22 @@ _THREADS = """
               ELSE text END AS text
   FROM conversations WHERE role <> 'system'"""
 
+_PLAIN_THREADS = """
+  SELECT conv_id AS post_id, CASE WHEN role <> 'assistant' THEN turn ELSE turn - 1 END AS thread_ix,
+         CASE WHEN role <> 'assistant' THEN 0 ELSE 1 END AS reply_ix, text
+  FROM conversations"""
+
 VIEWS = {
     "posts": _posts(True),
     "plain_posts": _posts(False),
     "threads": _THREADS,
+    "plain_threads": _PLAIN_THREADS,
 }
 
 
 def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
-    parts = [f"{n} AS ({VIEWS[n]}\n)" for n in names]
+    # a plain view takes the name of the binding it stands for
+    parts = [f"{n.removeprefix('plain_')} AS ({VIEWS[n]}\n)" for n in names]
     for k, v in (extra or {}).items():
         parts.append(f"{k} AS ({v}\n)")
     return "WITH " + ",\n".join(parts) + "\n" + sql if parts else sql

@@ -32,12 +32,10 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ posts
-def ingest_listing_posts(listing: DataFrame, seen_ids: DataFrame | None = None, limit: int = 100) -> DataFrame:
-    """Explode data.children (first min(limit, 100) per document), keep
-    kind t3 with a title, drop ids already seen (J2, anti-join), defaults
+def ingest_listing_posts(listing: DataFrame, seen_ids: DataFrame | None = None) -> DataFrame:
+    """Explode data.children (every child a document holds), keep kind t3 with a title, drop ids already seen (J2, anti-join), defaults
     for missing fields; the permalink is made absolute (P2)."""
-    cap = min(limit, 100)
-    ch = listing.select(F.explode(F.slice(F.col("data.children"), 1, cap)).alias("c")) \
+    ch = listing.select(F.explode(F.col("data.children")).alias("c")) \
         .where((F.col("c.kind") == "t3") & (F.coalesce(F.col("c.data.title"), F.lit("")) != "")).select("c.data.*")
     if seen_ids is not None:
         ch = ch.join(seen_ids.select("id"), "id", "left_anti")
@@ -136,7 +134,7 @@ def land_listings(posts: DataFrame, path: str) -> None:
     child = F.struct(
         F.when(p % 23 == 0, F.lit("t1")).otherwise(F.lit("t3")).alias("kind"),
         F.struct("id", F.when(p % 58 == 0, F.lit("")).otherwise(F.col("title")).alias("title"),
-                 F.when(p % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("selftext")).alias("selftext"),
+                 F.when(F.col("selftext") == "", F.lit(None).cast("string")).otherwise(F.col("selftext")).alias("selftext"),
                  "score", "url", F.when(p % 31 == 0, F.lit(None).cast("string")).otherwise(F.col("author")).alias("author"),
                  F.col("created_epoch").alias("created_utc"), "num_comments",
                  F.when(p % 41 == 0, F.lit(None).cast("string")).otherwise(F.col("subreddit")).alias("subreddit"),
@@ -155,7 +153,7 @@ def land_hits(posts: DataFrame, path: str) -> None:
     p = F.col("pos")
     oid = F.regexp_replace("id", "^hn_", "")
     base = [oid.alias("objectID"), "title",
-            F.when(p % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("selftext")).alias("story_text"),
+            F.when(F.col("selftext") == "", F.lit(None).cast("string")).otherwise(F.col("selftext")).alias("story_text"),
             F.col("score").alias("points")]
     rest = [F.col("author"), F.col("created_epoch").alias("created_at_i"), "num_comments"]
     with_null = F.to_json(F.struct(*base, F.lit(None).cast("string").alias("url"), *rest),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from chorus import vocab
 
 EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z
-N_GOLDEN = len(vocab.GOLDEN_TITLES)
+N_GOLDEN = len(vocab.TOPIC_TITLES)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _golden_title(doc_id: Column) -> Column:
-    arr = F.array(*[F.lit(t) for t in vocab.GOLDEN_TITLES])
+    arr = F.array(*[F.lit(t) for t in vocab.TOPIC_TITLES])
     return F.element_at(arr, (doc_id % N_GOLDEN + 1).cast("int"))
 
 
@@ -32,8 +32,10 @@ def posts(spark: SparkSession, sf_dir: str, golden: bool = True,
           urls: bool = False) -> DataFrame:
     """Posts view over ``documents`` (one post per document).
 
-    ``golden`` prefixes the reference's test titles so model/version
-    extraction has something to find; ``urls`` attaches page urls (a join
+    The title is the first 80 characters of the first line, the selftext
+    everything after them, so no character is lost. ``golden`` puts one of
+    ``vocab.TOPIC_TITLES`` before the title so model/version extraction has
+    something to find (word, network and whole-text queries leave it off); ``urls`` attaches page urls (a join
     with ``pages``), left out when a query does not need them.
     """
     d = read(spark, sf_dir, "documents")
@@ -49,9 +51,7 @@ def posts(spark: SparkSession, sf_dir: str, golden: bool = True,
         F.when(reddit, F.lit("Reddit")).otherwise(F.lit("HackerNews")).alias("source"),
         F.when(reddit, F.col("source")).otherwise(F.lit("HackerNews")).alias("subreddit"),
         F.when(g == "", head).otherwise(F.concat(g, F.lit(" "), head)).alias("title"),
-        F.when(doc_id % 5 == 0, F.lit(""))
-        .otherwise(F.expr("substring(coalesce(text, ''), length(substring_index(coalesce(text, ''), '\n', 1)) + 2)"))
-        .alias("selftext"),
+        F.substr(txt, F.length(head) + 1).alias("selftext"),  # all that the title does not hold
         F.col("n_chars").alias("score"),
         (doc_id % 37).alias("num_comments"),
         (F.lit(EPOCH_2024) + (doc_id * 7919) % 2592000).alias("created_epoch"),
@@ -76,20 +76,26 @@ def posts(spark: SparkSession, sf_dir: str, golden: bool = True,
     return out.drop("doc_id")
 
 
-def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def threads(spark: SparkSession, sf_dir: str, tombstones: bool = True) -> DataFrame:
     """Comment threads bound to ``conversations``: each user turn is a
     top-level comment, the assistant turn right after it is its reply.
     Some texts become tombstones (``[deleted]``, ``[removed]``, blank) by
     ``(conv_id + turn) % 11``. One row per comment:
     (post_id, thread_ix, reply_ix, text); reply_ix = 0 marks the top comment.
+    Without ``tombstones`` every text is kept as it is, and a system turn opens
+    a thread of its own.
     """
     c = read(spark, sf_dir, "conversations")
     k = (F.col("conv_id") + F.col("turn")) % 11
     text = (F.when(k == 3, F.lit("[deleted]")).when(k == 5, F.lit("[removed]"))
             .when(k == 7, F.lit("  ")).otherwise(F.col("text")))
     # a user turn opens thread number `turn`; the assistant turn turn+1 replies to it
-    is_user = F.col("role") == "user"
-    return c.where(F.col("role") != "system").select(
+    is_user = F.col("role") != "assistant"
+    if tombstones:
+        c = c.where(F.col("role") != "system")
+    else:
+        text = F.col("text")
+    return c.select(
         F.col("conv_id").alias("post_id"),
         F.when(is_user, F.col("turn")).otherwise(F.col("turn") - 1).alias("thread_ix"),
         F.when(is_user, F.lit(0)).otherwise(F.lit(1)).alias("reply_ix"),
