@@ -21,7 +21,7 @@ from chorus.llm.common import text_bytes
 K = 64
 SEED = 11
 CACHE_TERMS = 50_000   # terms whose draws a task remembers (1 KB each at k = 64)
-BLOCK_BYTES = 16 << 20  # text of one run of neighbouring documents
+BLOCK_BYTES = 4 << 20  # text of one run of neighbouring documents
 MAX_BLOCKS = 2000      # bounds the split points that reach the driver
 LOWEST = -(1 << 63)    # order of a null doc_id: after all others, descending
 
