@@ -105,7 +105,9 @@ def topup_to_limit(candidates: DataFrame, limit: int, first_source: str = "Reddi
     through the driver."""
     half = limit // 2
     w = Window.partitionBy("source").orderBy(F.col("pos"), F.col("id"))
-    ranked = candidates.withColumn("rn", F.row_number().over(w))
+    # the shortfall is at most ``limit``, so this bound drops no wanted row and each
+    # task hands on only that many rows of a source
+    ranked = candidates.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= half + limit)
     taken = ranked.where(F.col("rn") <= half)
     have = taken.select(F.count(F.lit(1))).scalar()
     extra = ranked.where((F.col("source") == first_source) & (F.col("rn") > half)

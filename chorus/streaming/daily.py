@@ -59,15 +59,16 @@ def stream_daily_sentiment(spark, source_dir: str, out_dir: str, checkpoint: str
     agg = (sc.withWatermark("et", "1 day")
            .groupBy(F.window("et", "1 day").alias("w"), "topic_id", "source").agg(*_aggs()))
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
+    def sink(batch: DataFrame, epoch: int) -> None:
+        # one folder per epoch, overwritten: a replayed batch replaces its own rows
+        path = out_dir if output_mode == "complete" else f"{out_dir}/epoch={epoch}"
         batch.select(_utc_day(F.col("w.start")).alias("day"), "topic_id", "source", "positive_count",
-                     "negative_count", "neutral_count", "avg_confidence") \
-            .write.mode("overwrite" if output_mode == "complete" else "append").parquet(out_dir)
+                     "negative_count", "neutral_count", "avg_confidence").write.mode("overwrite").parquet(path)
 
     q = (agg.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.parquet(out_dir).drop("epoch")
 
 
 def stream_dedup_posts(spark, source_dir: str, out_dir: str, checkpoint: str) -> DataFrame:
@@ -84,10 +85,10 @@ def stream_dedup_posts(spark, source_dir: str, out_dir: str, checkpoint: str) ->
         F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") * 7919) % 2592000).alias("created"))
     d = p.withWatermark("created", "60 days").dropDuplicatesWithinWatermark(["source", "external_id"])
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.select("source", "external_id").write.mode("append").parquet(out_dir)
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.select("source", "external_id").write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
     q = (d.writeStream.outputMode("append").foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.parquet(out_dir).drop("epoch")
