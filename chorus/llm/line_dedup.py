@@ -55,10 +55,18 @@ def pack(*columns: np.ndarray) -> bytes:
         width = max(1, (int(c.max()).bit_length() + 7) // 8) if n else 1
         p = np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
         out += [bytes([width]), np.ascontiguousarray(p.T).tobytes()]
-    return b"".join(out)
+    return squeeze(b"".join(out))
+
+
+def squeeze(raw: bytes) -> bytes:
+    """zstd behind the length: parity bits and small gaps take a fraction of their bytes."""
+    import pyarrow as pa
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:
+    import pyarrow as pa
+    raw = pa.Codec("zstd").decompress(raw[4:], int.from_bytes(raw[:4], "little"), asbytes=True)
     n, m = np.frombuffer(raw, "<u4", 2).tolist()
     at, out = 8, []
     for i in range(m):
@@ -320,37 +328,63 @@ def _candidates(n_parts):
 
 # --------------------------------------------------------------- 3. verification
 
+def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indices start[j], ..., start[j] + n[j] - 1 of all j, in order."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _pack_sets(g, i, k, n, codes) -> list[bytes]:
+    """Lines (group, document, line number, words) and their sorted codes: the distinct
+    codes once, then every line's places among them, as gaps of one rising sequence."""
+    known, at = np.unique(codes, return_inverse=True)
+    at = at + np.repeat(np.arange(len(n)) * len(known), n)
+    return [pack(g, i, k, n), pack(known), pack(at)]
+
+
+def _unpack_sets(lines, known, at):
+    g, i, k, n = unpack(lines)
+    known, at = unpack(known)[0], unpack(at)[0].astype(np.int64)
+    n = n.astype(np.int64)
+    return g, i.astype(np.int64), k.astype(np.int64), n, known[at - np.repeat(np.arange(len(n)) * len(known), n)]
+
+
+SETS = "key long, lines binary, known binary, places binary"
+
+
 def _fetch(n_buckets):
-    """Word sets of the requested lines of a part of the documents, by bucket."""
+    """Word sets (codes of 40 bits) of the requested lines of a part of the documents, by bucket."""
     def run(key, docs, requests):
         import pyarrow as pa
-        kinds, keys, raws = [], [], []
+        out = []
         held = [unpack(x.as_py()) for x in requests.column("data")]
         if held and docs.num_rows:
             ids, number, group = (np.concatenate(x) for x in zip(*held))
-            ids, number, group = (unpack(next(_unique(1, ids.astype(np.int64), number.astype(np.int64), group))[1]))
+            ids, number, group = unpack(next(_unique(1, ids.astype(np.int64), number.astype(np.int64), group))[1])
             ids, number = ids.astype(np.int64), number.astype(np.int64)
+            known = np.unique(ids)
+            asked = (np.searchsorted(known, ids) << 40) + number  # rises: requests are sorted
             got = []
-            for piece in pieces(unpack_part(docs)):
-                rb, a, b, data, offs = piece
+            for rb, a, b, data, offs in pieces(unpack_part(docs)):
                 line, codes, _, doc, num = _line_sets(data, offs, None)
                 at = np.searchsorted(line, np.arange(len(doc) + 1))
-                own = {(i, k): x for x, (i, k) in enumerate(zip(doc_ids(rb, a, b)[doc].tolist(), num.tolist()))}
-                for i, k, g in zip(ids.tolist(), number.tolist(), group.tolist()):
-                    x = own.get((i, k))
-                    if x is not None and at[x + 1] > at[x]:
-                        got.append((g, i, k, codes[at[x]:at[x + 1]] & U(0xFFFFFFFFFFFF)))
-            if got:
-                size = [len(x[3]) for x in got]
-                g = np.repeat(np.array([x[0] for x in got], U), size)
-                i = np.repeat(np.array([x[1] for x in got], np.int64), size)
-                k = np.repeat(np.array([x[2] for x in got], np.int64), size)
-                for b, raw in _grouped((g % U(n_buckets)).astype(np.int64), g, i, k, np.concatenate([x[3] for x in got])):
-                    kinds.append(0)
-                    keys.append(b)
-                    raws.append(raw)
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "key": pa.array(keys, pa.int64()),
-                         "data": pa.array(raws, pa.binary())})
+                own = doc_ids(rb, a, b)[doc]
+                place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                mine = (place << 40) + num
+                low, high = np.searchsorted(asked, mine, "left"), np.searchsorted(asked, mine, "right")
+                times = np.where((known[place] == own) & (at[1:] > at[:-1]), high - low, 0)
+                x, req = np.repeat(np.arange(len(doc)), times), _ragged(low, times)
+                n = (at[1:] - at[:-1])[x]
+                got.append((group[req], ids[req], number[req], n, codes[_ragged(at[:-1][x], n)] >> U(24)))
+            g, i, k, n, code = (np.concatenate(x) for x in zip(*got))
+            start, bucket = np.cumsum(n) - n, (g % U(n_buckets)).astype(np.int64)
+            order = np.lexsort((k, i, g, bucket))
+            edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) > 0, [True]))) if len(g) else []
+            for p, q in zip(edges[:-1], edges[1:]):
+                w = order[p:q]
+                out.append([int(bucket[w[0]]), *_pack_sets(g[w], i[w], k[w], n[w], code[_ragged(start[w], n[w])])])
+        cols = list(zip(*out)) or [()] * 4
+        return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
+                        ["key", "lines", "known", "places"])
     return run
 
 
@@ -358,16 +392,20 @@ def _verify(n_parts):
     """Lines of a bucket with an earlier line of Jaccard similarity >= 4/5 in their group."""
     def run(key, table):
         import pyarrow as pa
-        held = [unpack(x.as_py()) for x in table.column("data")]
-        g, i, k, code = (np.concatenate(x) for x in zip(*held))
+        held = [_unpack_sets(*(x.as_py() for x in row)) for row in zip(*(table.column(c) for c in ("lines", "known", "places")))]
+        g, i, k, n, code = (np.concatenate(x) for x in zip(*held))
         del held
-        order = np.lexsort((code, k, i.astype(np.int64), g))
-        g, i, k, code = g[order], i[order].astype(np.int64), k[order].astype(np.int64), code[order]
-        first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (k[1:] != k[:-1]))))
-        end = np.concatenate((first[1:], [len(g)]))
-        n = end - first
-        bits, more = parity(code, first)
-        edges = np.flatnonzero(np.concatenate(([True], g[first][1:] != g[first][:-1], [True])))
+        start = np.cumsum(n) - n
+        order = np.lexsort((np.add.reduceat(mix64(code), start), n, k, i, g))
+        g, i, k, n, start = (x[order] for x in (g, i, k, n, start))
+        # a doc_id that repeats gives one line per number
+        one = np.concatenate(([True], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (k[1:] != k[:-1])))
+        g, i, k, n, start = (x[one] for x in (g, i, k, n, start))
+        code = code[_ragged(start, n)]
+        end = np.cumsum(n)
+        first = end - n
+        bits, more = parity(code << U(24), first)
+        edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
         gone = np.zeros(len(first), bool)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             sets: dict[int, frozenset] = {}
@@ -384,7 +422,7 @@ def _verify(n_parts):
                     if len(words(x) & words(a + z)) >= need[z]:
                         gone[x] = True
                         break
-        ids, number = i[first][gone], k[first][gone]
+        ids, number = i[gone], k[gone]
         kinds, keys, raws = [], [], []
         for part, raw in _grouped(part_of(ids, n_parts), ids, number):
             kinds.append(REPORT)
@@ -438,7 +476,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         "kind", "data", F.col("key").alias("part"), F.pmod("key", F.lit(n_buckets)).alias("bucket"))
     found = cut(found.groupBy("bucket").applyInArrow(_candidates(n_parts), ROW))
     homes = packed_parts(docs, n_parts).groupBy("part")
-    fetched = homes.cogroup(found.where(F.col("kind") == REQUEST).groupBy("key")).applyInArrow(_fetch(n_buckets), ROW)
+    fetched = homes.cogroup(found.where(F.col("kind") == REQUEST).groupBy("key")).applyInArrow(_fetch(n_buckets), SETS)
     verified = fetched.groupBy("key").applyInArrow(_verify(n_parts), ROW)
     reports = found.where(F.col("kind") == REPORT).union(verified)
     return homes.cogroup(reports.groupBy("key")).applyInArrow(
