@@ -38,7 +38,7 @@ CHUNK_LINES = 60_000
 SMALL = 12    # largest group whose pairs are listed
 STEPS = 4096  # largest group compared a distance at a time
 BUCKET_BYTES = 16 << 20
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 U = np.uint64
 
 
@@ -80,8 +80,8 @@ def unpack(raw: bytes) -> list[np.ndarray]:
 
 
 def _grouped(key: np.ndarray, *columns: np.ndarray):
-    """(key, packed columns) per distinct key; rows sorted by the columns."""
-    order = np.lexsort((*columns[::-1], key))
+    """(key, packed columns) per distinct key; rows sorted by the first two columns."""
+    order = np.lexsort((*columns[1::-1], key))
     key, columns = key[order], [c[order] for c in columns]
     edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else []
     for a, b in zip(edges[:-1], edges[1:]):
@@ -108,26 +108,33 @@ ENTRIES, REPORT, REQUEST = 0, 1, 2
 
 # ------------------------------------------------------------- lines of a piece
 
-def _line_sets(data, offs, rarity):
-    """Distinct words of all lines of a piece, by line and then rarity:
-    (line of word, code, count, place in line, line -> document, line number, words)."""
+def _lines(data, offs):
+    """(byte start, document, line number) of the lines of a piece."""
     nl = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate((offs[:-1], nl + 1)))
     begin = begin[begin < max(len(data), 1)]
+    # a line starting where a document starts belongs to the last document that starts there
+    doc = np.searchsorted(offs[:-1], begin, "right") - 1
+    first = np.searchsorted(begin, offs[:-1])
+    return begin, doc, np.arange(len(begin)) - first[doc] if len(begin) else doc
+
+
+def _line_sets(data, offs, begin, rarity=None, only=None):
+    """Distinct words of the lines of a piece (those of the mask ``only``), by line and
+    then rarity: (line of word, code, count)."""
     starts, ends, _ = word_bounds(data, offs)
-    codes = word_codes(data, starts, ends)
     line = np.searchsorted(begin, starts, "right") - 1
-    seen = rarity[(codes >> U(64 - SLOT_BITS)).astype(np.int64)] if rarity is not None else np.zeros(len(codes), np.int64)
-    order = np.lexsort((codes, seen, line))
+    if only is not None:
+        mine = only[line]
+        line, starts, ends = line[mine], starts[mine], ends[mine]
+    codes = word_codes(data, starts, ends)
+    seen = rarity[(codes >> U(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64) if rarity is not None else np.zeros(len(codes), np.int64)
+    order = np.lexsort((codes, (line << 31) + seen))  # counts stay below 2^31
     line, codes, seen = line[order], codes[order], seen[order]
     if len(line):
         new = np.concatenate(([True], (line[1:] != line[:-1]) | (codes[1:] != codes[:-1])))
         line, codes, seen = line[new], codes[new], seen[new]
-    # a line starting where a document starts belongs to the last document that starts there
-    doc = np.searchsorted(offs[:-1], begin, "right") - 1
-    first = np.searchsorted(begin, offs[:-1])
-    number = np.arange(len(begin)) - first[doc] if len(begin) else doc
-    return line, codes, seen, doc, number
+    return line, codes, seen
 
 
 def _count(batches):
@@ -204,7 +211,8 @@ def _entries(rarity, n_buckets, n_parts):
         held = [[] for _ in range(10)]
         total = 0
         for batch, a, b, data, offs in pieces(batches):
-            line, codes, seen, doc, number = _line_sets(data, offs, rarity)
+            begin, doc, number = _lines(data, offs)
+            line, codes, seen = _line_sets(data, offs, begin, rarity)
             if not len(line):
                 continue
             first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
@@ -266,7 +274,7 @@ def _candidates(n_parts):
             order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
             ids, number, n, place = (x[order].astype(np.int64) for x in (ids, number, n, place))
             group, bits, more, digest = group[order], bits[order], more[order], digest[order]
-            order = np.lexsort((number, ids, n, bits, digest, group))
+            order = np.lexsort((number, ids, digest, group))
             ids, number, group, n, place, bits, more, digest = (
                 x[order] for x in (ids, number, group, n, place, bits, more, digest))
             again = np.zeros(len(ids), bool)
@@ -365,13 +373,15 @@ def _fetch(n_buckets):
             asked = (np.searchsorted(known, ids) << 40) + number  # rises: requests are sorted
             got = []
             for rb, a, b, data, offs in pieces(unpack_part(docs)):
-                line, codes, _, doc, num = _line_sets(data, offs, None)
-                at = np.searchsorted(line, np.arange(len(doc) + 1))
+                begin, doc, num = _lines(data, offs)
                 own = doc_ids(rb, a, b)[doc]
                 place = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 mine = (place << 40) + num
                 low, high = np.searchsorted(asked, mine, "left"), np.searchsorted(asked, mine, "right")
-                times = np.where((known[place] == own) & (at[1:] > at[:-1]), high - low, 0)
+                wanted = (known[place] == own) & (high > low)
+                line, codes, _ = _line_sets(data, offs, begin, only=wanted)
+                at = np.searchsorted(line, np.arange(len(doc) + 1))
+                times = np.where(wanted & (at[1:] > at[:-1]), high - low, 0)
                 x, req = np.repeat(np.arange(len(doc)), times), _ragged(low, times)
                 n = (at[1:] - at[:-1])[x]
                 got.append((group[req], ids[req], number[req], n, codes[_ragged(at[:-1][x], n)] >> U(24)))
@@ -476,7 +486,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         "kind", "data", F.col("key").alias("part"), F.pmod("key", F.lit(n_buckets)).alias("bucket"))
     found = cut(found.groupBy("bucket").applyInArrow(_candidates(n_parts), ROW))
     homes = packed_parts(docs, n_parts).groupBy("part")
-    fetched = homes.cogroup(found.where(F.col("kind") == REQUEST).groupBy("key")).applyInArrow(_fetch(n_buckets), SETS)
+    fetched = homes.cogroup(found.where(F.col("kind") == REQUEST).groupBy("key")).applyInArrow(_fetch(max(1, n_buckets // 2)), SETS)
     verified = fetched.groupBy("key").applyInArrow(_verify(n_parts), ROW)
     reports = found.where(F.col("kind") == REPORT).union(verified)
     return homes.cogroup(reports.groupBy("key")).applyInArrow(
