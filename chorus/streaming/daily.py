@@ -10,10 +10,12 @@ from chorus.functions.text import sentiment_label
 
 
 def event_scores(events: DataFrame) -> DataFrame:
-    """events -> (ts, day, topic_id, source, score): the daily-aggregate binding."""
+    """events -> (ts, day, topic_id, source, model_name, score): the daily-aggregate binding."""
     s = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 20) / 50))
     return events.select("ts", F.to_date("ts").alias("d"), (F.col("user_id") % 3).alias("topic_id"),
-                         F.col("event_type").alias("source"), s.alias("s"))
+                         F.col("event_type").alias("source"),
+                         F.when(F.col("user_id") % 2 == 0, F.lit("rules")).otherwise(F.lit("lexicon")).alias("model_name"),
+                         s.alias("s"))
 
 
 def _aggs():
@@ -21,12 +23,14 @@ def _aggs():
     return [F.count_if(lab == "positive").alias("positive_count"),
             F.count_if(lab == "negative").alias("negative_count"),
             F.count_if(lab == "neutral").alias("neutral_count"),
-            F.round(F.avg(F.abs("s")), 6).alias("avg_confidence")]
+            # mean to 6 decimals, half up, in integers: a sum of doubles depends on the row order
+            F.expr("((2 * sum(cast(round(abs(s) * 1000000) AS bigint)) + count(1)) div (2 * count(1))) / 1000000D")
+            .alias("avg_confidence")]
 
 
 def daily_sentiment_batch(events: DataFrame) -> DataFrame:
-    """A10: per (date, topic, source): label counts and mean confidence."""
-    return event_scores(events).groupBy(F.col("d").cast("string").alias("day"), "topic_id", "source").agg(*_aggs())
+    """A10: per (date, topic, source, model): label counts and mean confidence."""
+    return event_scores(events).groupBy(F.col("d").cast("string").alias("day"), "topic_id", "source", "model_name").agg(*_aggs())
 
 
 def event_time(ts_ntz) -> F.Column:
@@ -44,8 +48,8 @@ def _utc_day(ts) -> F.Column:
 def stream_daily_sentiment(spark, source_dir: str, out_dir: str, checkpoint: str,
                            files_per_trigger: int = 1, output_mode: str = "complete",
                            glob: str = "events.parquet") -> DataFrame:
-    """Events read as a file stream, 1-day tumbling windows per topic and
-    source under a 1-day watermark. In complete mode each micro-batch
+    """Events read as a file stream, 1-day tumbling windows per topic,
+    source and model under a 1-day watermark. In complete mode each micro-batch
     replaces the result table; in append mode a day is written once the
     watermark has passed its end, and rows arriving later for it are
     dropped. The result is returned read back."""
@@ -57,12 +61,12 @@ def stream_daily_sentiment(spark, source_dir: str, out_dir: str, checkpoint: str
           .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
     sc = event_scores(ev).withColumn("et", event_time(F.col("ts")))
     agg = (sc.withWatermark("et", "1 day")
-           .groupBy(F.window("et", "1 day").alias("w"), "topic_id", "source").agg(*_aggs()))
+           .groupBy(F.window("et", "1 day").alias("w"), "topic_id", "source", "model_name").agg(*_aggs()))
 
     def sink(batch: DataFrame, epoch: int) -> None:
         # one folder per epoch, overwritten: a replayed batch replaces its own rows
         path = out_dir if output_mode == "complete" else f"{out_dir}/epoch={epoch}"
-        batch.select(_utc_day(F.col("w.start")).alias("day"), "topic_id", "source", "positive_count",
+        batch.select(_utc_day(F.col("w.start")).alias("day"), "topic_id", "source", "model_name", "positive_count",
                      "negative_count", "neutral_count", "avg_confidence").write.mode("overwrite").parquet(path)
 
     q = (agg.writeStream.outputMode(output_mode).foreachBatch(sink)

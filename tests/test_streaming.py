@@ -45,5 +45,5 @@ def test_complete_mode_equals_batch(spark):
     base = tempfile.mkdtemp(prefix="chorus-stream-", dir="/tmp")
     s = D.stream_daily_sentiment(spark, SF_SMALL, os.path.join(base, "out"), os.path.join(base, "ckpt"))
     b = D.daily_sentiment_batch(read(spark, SF_SMALL, "events"))
-    cols = ["day", "topic_id", "source", "positive_count", "negative_count", "neutral_count", "avg_confidence"]
+    cols = ["day", "topic_id", "source", "model_name", "positive_count", "negative_count", "neutral_count", "avg_confidence"]
     assert sorted(map(tuple, s.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
