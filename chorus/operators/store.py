@@ -43,7 +43,7 @@ def fk_orphans(tables: dict[str, DataFrame]) -> DataFrame:
     ]
     out = None
     for name, child, parent in checks:
-        c = child.join(parent.distinct(), child.k.cast("string") == parent.k.cast("string"), "left_anti") \
+        c = child.join(parent, "k", "left_anti") \
             .agg(F.count(F.lit(1)).alias("n_orphans")).select(F.lit(name).alias("fk"), "n_orphans")
         out = c if out is None else out.unionByName(c)
     return out
@@ -55,6 +55,11 @@ def unique_violations(sa: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def unique_external_ids(posts: DataFrame) -> DataFrame:
+    """Keys breaking UNIQUE(source_id, external_id): (source, external_id) held by several posts."""
+    return posts.groupBy("source", "external_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
 def check_violations(content: DataFrame) -> DataFrame:
     """Success needs a content_text key in the details, failure an error key."""
     keys = F.json_object_keys("fetch_details")

@@ -49,8 +49,8 @@ _ELIGIBLE = f"""
 _CONTENT = {
     "eligible": _ELIGIBLE,
     "page_text": f"SELECT page_id, url, {sql_html_text('html')} AS content_text FROM pages",
-    "content": """SELECT e.id AS post_id, e.url, t.content_text FROM eligible e JOIN page_text t ON t.url = e.url
-                  WHERE t.content_text <> ''""",
+    "last_text": "SELECT url, arg_max(content_text, page_id) AS content_text FROM page_text WHERE content_text <> '' GROUP BY url",
+    "content": "SELECT e.id AS post_id, e.url, t.content_text FROM eligible e JOIN last_text t ON t.url = e.url",
 }
 
 

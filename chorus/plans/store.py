@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from chorus import vocab
@@ -123,7 +125,6 @@ _S["sa1"] = f"""
   LEFT JOIN sent_out cs ON cs.sid = 'C' || sp.id"""
 _S["st_sentiment_analyses"] = """
   SELECT * EXCLUDE (pos) FROM sa1 UNION ALL SELECT * EXCLUDE (pos) REPLACE (id + 1000000 AS id) FROM sa1 WHERE pos % 19 = 7"""
-_S.update({k: v for k, v in PM._MCTE.items() if False})
 
 
 def _sql(body: str) -> str:
@@ -151,11 +152,32 @@ def table_status(spark, sf):
     return _counts(store_tables(spark, sf))
 
 
-@query("write_store", _sql(_COUNTS_SQL))
+# every stored column but the JSON documents, whose text form differs between engines
+_PLAIN_COLUMNS = {
+    "search_queries": ["id", "query", "analysis_method", "total_posts", "reddit_posts", "hackernews_posts",
+                       "avg_sentiment", "executed_at"],
+    "posts": ["id", "search_query_id", "title", "source", "community", "score", "created_epoch", "collected_at"],
+    "content": ["id", "post_id", "fetch_success", "content_length"],
+    "sentiment_analyses": ["id", "post_id", "content_id", "analysis_method", "title_compound", "title_label",
+                           "content_compound", "content_label", "claude_version", "analyzed_at"],
+}
+
+
+def _row_sql(table: str, cols: list[str]) -> str:
+    row = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cols)
+    return f"SELECT '{table}' AS table_name, CAST(id AS VARCHAR) AS id, {row} AS stored FROM st_{table}"
+
+
+@query("write_store", _sql(" UNION ALL ".join(_row_sql(t, c) for t, c in _PLAIN_COLUMNS.items())))
 def write_store(spark, sf):
-    """Write the four tables as parquet (posts partitioned by source), read them back, count rows."""
+    """Write the four tables as parquet (posts partitioned by source) and return every row read back."""
     back = sinks.write_store(store_tables(spark, sf), sinks.output_dir(spark, "store"))
-    return _counts(back)
+    out = None
+    for table, cols in _PLAIN_COLUMNS.items():
+        row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
+        df = back[table].select(F.lit(table).alias("table_name"), F.col("id").cast("string").alias("id"), row.alias("stored"))
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 @query("run_stats", _sql("SELECT search_query_id, total_posts, reddit_posts, hackernews_posts, avg_sentiment FROM run_stats"))
@@ -173,9 +195,10 @@ def decimal_4_3(spark, sf):
 SELECT id, post_id, CAST(title_compound AS DOUBLE) AS title_compound FROM st_sentiment_analyses
 WHERE title_compound > 0.5 AND title_label = 'positive'"""))
 def store_filter(spark, sf):
-    """title_compound > 0.5 AND title_label = 'positive' (a scan filter once stored as parquet)."""
-    sa = store_tables(spark, sf)["sentiment_analyses"]
-    return sa.where((F.col("title_compound") > 0.5) & (F.col("title_label") == "positive")).select(
+    """title_compound > 0.5 AND title_label = 'positive' on the stored table; both reach the parquet scan."""
+    sa = sinks.write_store({"sentiment_analyses": store_tables(spark, sf)["sentiment_analyses"]},
+                           sinks.output_dir(spark, "store"))["sentiment_analyses"]
+    return sa.where((F.col("title_compound") > F.lit(Decimal("0.500"))) & (F.col("title_label") == "positive")).select(
         "id", "post_id", F.col("title_compound").cast("double").alias("title_compound"))
 
 
@@ -190,18 +213,18 @@ def json_contains_key(spark, sf):
 
 
 @query("join_posts_sentiment", _sql("""
-SELECT p.id, p.title, json_extract_string(p.raw_data, '$.author') AS author,
-       CAST(s.title_compound AS DOUBLE) AS title_compound
+SELECT p.id, p.title, CAST(s.title_compound AS DOUBLE) AS title_compound,
+       CAST(json_extract_string(s.full_results, '$.analysis_metadata.processing_time_ms') AS BIGINT) AS processing_time_ms
 FROM st_posts p JOIN st_sentiment_analyses s ON s.post_id = p.id
-WHERE s.title_compound > 0.5 AND p.source = 'Reddit'"""))
+WHERE s.title_compound > 0.8 AND p.source = 'Reddit'"""))
 def join_posts_sentiment(spark, sf):
-    """Posts joined to analyses, author taken from the JSON document, filters on both sides."""
+    """Posts joined to analyses, processing time taken from the JSON document, filters on both sides."""
     t = store_tables(spark, sf)
     p = t["posts"].where(F.col("source") == "Reddit")
-    s = t["sentiment_analyses"].where(F.col("title_compound") > 0.5)
+    s = t["sentiment_analyses"].where(F.col("title_compound") > F.lit(Decimal("0.800")))
     return p.join(s, s.post_id == p.id).select(
-        p.id, p.title, F.get_json_object(p.raw_data, "$.author").alias("author"),
-        s.title_compound.cast("double").alias("title_compound"))
+        p.id, p.title, s.title_compound.cast("double").alias("title_compound"),
+        F.get_json_object(s.full_results, "$.analysis_metadata.processing_time_ms").cast("long").alias("processing_time_ms"))
 
 
 @query("fk_navigation", _sql("""
@@ -243,6 +266,15 @@ def unique_violations(spark, sf):
     return ST.unique_violations(store_tables(spark, sf)["sentiment_analyses"])
 
 
+@query("unique_external_ids", with_views("""
+SELECT source, md5(title || selftext) AS external_id, count(*) AS n FROM posts
+GROUP BY 1, 2 HAVING count(*) > 1""", "plain_posts"))
+def unique_external_ids(spark, sf):
+    """A12, second key: external_id is bound to the digest of the whole text, as in R2."""
+    p = posts(spark, sf, golden=False)
+    return ST.unique_external_ids(p.select("source", F.md5(F.concat("title", "selftext")).alias("external_id")))
+
+
 @query("check_violations", _sql("""
 SELECT id, post_id, fetch_success FROM st_content
 WHERE NOT coalesce(CASE WHEN fetch_success THEN list_contains(json_keys(fetch_details), 'content_text')
@@ -293,8 +325,10 @@ def keyword_array_match(spark, sf):
 
 @query("daily_sentiment", """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id % 3 AS topic_id, event_type AS source,
+       CASE WHEN user_id % 2 = 0 THEN 'rules' ELSE 'lexicon' END AS model_name,
        count(*) FILTER (WHERE s >= 0.05) AS positive_count, count(*) FILTER (WHERE s <= -0.05) AS negative_count,
-       count(*) FILTER (WHERE s > -0.05 AND s < 0.05) AS neutral_count, round(avg(abs(s)), 6) AS avg_confidence
+       count(*) FILTER (WHERE s > -0.05 AND s < 0.05) AS neutral_count, 
+       (2 * sum(CAST(round(abs(s) * 1000000) AS BIGINT)) + count(*)) // (2 * count(*)) / 1000000 AS avg_confidence
 FROM (SELECT *, greatest(-1.0, least(1.0, (value - 20) / 50)) AS s FROM events) GROUP BY ALL""")
 def daily_sentiment(spark, sf):
     from chorus.streaming.daily import daily_sentiment_batch
