@@ -192,7 +192,7 @@ def part_of(ids: np.ndarray, n_parts: int) -> np.ndarray:
     return ((x >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
 
 
-def packed_parts(docs: DataFrame, n_parts: int) -> DataFrame:
+def packed_parts(docs: DataFrame, n_parts: int, level: int = 3) -> DataFrame:
     """(part, data): (doc_id, text) rows dealt by hashed id, those of one part in an Arrow
     batch packed together with zstd, so that the text's shuffle is near its size on disk."""
     def run(batches):
@@ -208,7 +208,7 @@ def packed_parts(docs: DataFrame, n_parts: int) -> DataFrame:
             for a, b in zip(edges, edges[1:]):
                 sink = pa.BufferOutputStream()
                 with ipc.new_stream(sink, batch.schema, options=ipc.IpcWriteOptions(
-                        compression=pa.Codec("zstd", 3))) as out:
+                        compression=pa.Codec("zstd", level))) as out:
                     out.write_batch(batch.take(pa.array(order[a:b])))
                 keys.append(int(part[order[a]]))
                 raw.append(sink.getvalue().to_pybytes())

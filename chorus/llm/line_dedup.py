@@ -7,13 +7,16 @@ n - ceil(4n/5) + 1 rarest words. Prefix entries meet by word; pairs there pass
 - the length filter: 5 min(n) >= 4 max(n);
 - the positional filter: the words still to come must allow the overlap
   ceil(4 (n1 + n2) / 9);
-- a bitmap filter: 128 parity bits of the word sets differ in no more places than
-  the sets may differ in words. It never drops a true pair.
-
-Lines that survive are fetched, each later line with its partners (or, in a group
-of over ``SMALL`` lines, the whole group once), and the Jaccard similarity of
-their full word sets is verified. A line goes if an earlier line, by (doc_id, line number),
-matches it. Equal sets are collapsed first, in the task and then by hash, so a
+- a bitmap filter: 128 parity bits of the word sets (folded to 64 in lines of up to
+  ``FOLD`` words) differ in no more places than the sets may differ in words. It never
+  drops a true pair.
+
+Lines that survive are fetched and the Jaccard similarity of their full word sets is
+verified, in two rounds. First each later line meets its likeliest partner of each
+bucket (fewest different parity bits). The lines that none of these matched then meet
+all their other partners: listed ones, or, for a line with over ``SMALL`` partners in
+a group, all paired lines of the group. A line goes if an earlier line, by (doc_id,
+line number), matches it. Equal sets are collapsed first, in the task and then by hash, so a
 line that a third of all documents share is one entry per task chunk.
 
 Rarity comes from one pass over all documents: word counts in ``SLOTS`` hashed
@@ -35,7 +38,8 @@ SLOTS = 1 << SLOT_BITS
 RANGES = 64
 HOT = 200_000
 CHUNK_LINES = 60_000
-SMALL = 12    # largest group whose pairs are listed
+SMALL = 12    # most partners of a line in a group that are listed
+FOLD = 72     # most words of a line described by 64 parity bits
 STEPS = 4096  # largest group compared a distance at a time
 BUCKET_BYTES = 16 << 20
 PART_BYTES = 16 << 20
@@ -103,7 +107,7 @@ def _rows(kinds, keys, raws):
 
 
 ROW = "kind int, key long, data binary"
-ENTRIES, REPORT, REQUEST = 0, 1, 2
+ENTRIES, REPORT, REQUEST, REST, LINK, MEMBER, WANT = range(7)
 
 
 # ------------------------------------------------------------- lines of a piece
@@ -201,7 +205,7 @@ def _entries(rarity, n_buckets, n_parts):
         group = mix64(codes[at] + p.astype(U) * U(0xD6E8FEB86659FD93) + q.astype(U) * U(0xA0761D6478BD642F))
         line = line[at]
         for b, raw in _grouped((group >> U(40)).astype(np.int64) % n_buckets, ids[line], number[line],
-                               group & U(0xFFFFFFFFFFFF), n[line], place[at], bits[line], more[line], digest[line] & U(0xFFFFFFFFFF)):
+                               group & U(0xFFFFFFFF), n[line], place[at], bits[line], more[line], digest[line] & U(0xFFFFFFFFFF)):
             kinds.append(ENTRIES)
             keys.append(b)
             raws.append(raw)
@@ -217,11 +221,14 @@ def _entries(rarity, n_buckets, n_parts):
                 continue
             first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
             n = np.diff(np.concatenate((first, [len(line)])))
+            bits, more = parity(codes, first)
+            short = n <= FOLD
+            bits, more = np.where(short, bits ^ more, bits), np.where(short, U(0), more)
             place = np.arange(len(line)) - np.repeat(first, n)
             prefix = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
             which = line[first]
             for h, x in zip(held, (doc_ids(batch, a, b)[doc[which]], number[which], n,
-                                   *parity(codes, first),
+                                   bits, more,
                                    np.add.reduceat(mix64(codes), first),
                                    np.add.reduceat(prefix.astype(np.int64), first),
                                    codes[prefix], seen[prefix], place[prefix])):
@@ -238,14 +245,20 @@ def _entries(rarity, n_buckets, n_parts):
 # ---------------------------------------------------------------- 2. candidates
 
 def _passing(n, place, bits, more, i, j):
-    """Length, positional and bitmap filters of pairs (i, j)."""
+    """Length, positional and bitmap filters of pairs (i, j), and their different parity bits."""
     a, b = n[i], n[j]
     need = (4 * (a + b) + 8) // 9
     ok = 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
     ok &= np.minimum(place[i], place[j]) + 1 + np.minimum(a - place[i], b - place[j]) - 1 >= need
-    far = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
+    x, y = bits[i] ^ bits[j], more[i] ^ more[j]
+    far = np.where(np.minimum(a, b) <= FOLD, np.bitwise_count(x ^ y), np.bitwise_count(x) + np.bitwise_count(y))
     ok &= far <= a + b - 2 * need
-    return ok
+    return ok, far
+
+
+def _own(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Name of the group in which a later line meets its partners; names of whole groups lack the top bit."""
+    return mix64(ids.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + number.astype(U)) | U(1 << 63)
 
 
 def _unique(n_parts, ids, number, group):
@@ -258,8 +271,16 @@ def _unique(n_parts, ids, number, group):
     return _grouped(part_of(ids, n_parts), ids, number, group)
 
 
+def _requests(n_parts, ids, number, y, x):
+    """Distinct requests of lines x and their partners y under the names of x."""
+    both = np.concatenate((y, x))
+    own = _own(ids[x], number[x])
+    return _unique(n_parts, ids[both], number[both], np.concatenate((own, own)))
+
+
 def _candidates(n_parts):
-    """One bucket of entries: repeated sets are reported, lines with a partner requested."""
+    """One bucket of entries: repeated sets are reported, every later line is requested with its
+    likeliest partner, and its other partners are noted under the part of its document."""
     def run(key, table):
         import pyarrow as pa
         kinds, keys, raws, held = [], [], [], []
@@ -274,56 +295,79 @@ def _candidates(n_parts):
             order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
             ids, number, n, place = (x[order].astype(np.int64) for x in (ids, number, n, place))
             group, bits, more, digest = group[order], bits[order], more[order], digest[order]
-            order = np.lexsort((number, ids, digest, group))
+            order = np.lexsort((number, ids, place, digest, group))
             ids, number, group, n, place, bits, more, digest = (
                 x[order] for x in (ids, number, group, n, place, bits, more, digest))
             again = np.zeros(len(ids), bool)
-            again[1:] = (group[1:] == group[:-1]) & (digest[1:] == digest[:-1]) & (bits[1:] == bits[:-1]) & (n[1:] == n[:-1])
+            # one place: a line whose own words share a group's name keeps an entry for each
+            again[1:] = (group[1:] == group[:-1]) & (place[1:] == place[:-1]) & (digest[1:] == digest[:-1]) & (bits[1:] == bits[:-1]) & (n[1:] == n[:-1])
             first = np.maximum.accumulate(np.where(~again, np.arange(len(ids)), 0)) if len(ids) else ids
             later = again & (place == 0) & ((ids != ids[first]) | (number != number[first]))
             for part, raw in _grouped(part_of(ids[later], n_parts), ids[later], number[later]):
                 kinds.append(REPORT)
                 keys.append(part)
                 raws.append(raw)
-            ids, number, group, n, place, bits, more = (x[~again] for x in (ids, number, group, n, place, bits, more))
-            wanted, ask = np.zeros(len(ids), bool), []
+            order = np.flatnonzero(~again)
+            order = order[np.lexsort((number[order], ids[order], group[order]))]  # partners before later lines
+            ids, number, group, n, place, bits, more = (x[order] for x in (ids, number, group, n, place, bits, more))
             edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if len(ids) else np.zeros(1, int)
             size = np.diff(edges)
+            times, near = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            least, paired = np.full(len(ids), 255, np.uint8), np.zeros(len(ids), bool)
+            listed = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+            def note(y, x):
+                """Pairs of a line y and a later line x that pass; no x occurs twice in a call."""
+                ok, far = _passing(n, place, bits, more, y, x)
+                ok &= (ids[y] != ids[x]) | (number[y] != number[x])
+                y, x, far = y[ok], x[ok], far[ok]
+                paired[y] = True
+                times[x] += 1
+                closer = far < least[x]
+                least[x[closer]], near[x[closer]] = far[closer], y[closer]
+                few = times[x] <= SMALL
+                listed.append((y[few], x[few]))
             # each line against the following ones of its group, a distance at a time
-            begin = np.repeat(edges[:-1], size) if len(size) else edges[:0]
-            many = np.repeat(size > SMALL, size) if len(size) else np.zeros(0, bool)
-            left = np.repeat(edges[1:], size) - np.arange(len(ids)) - 1 if len(size) else begin
-            small = np.repeat(size <= STEPS, size) if len(size) else begin.astype(bool)
-            i, d = np.flatnonzero(small & (left > 0)), 1
+            left = np.repeat(edges[1:], size) - np.arange(len(ids)) - 1
+            i, d = np.flatnonzero(np.repeat(size <= STEPS, size) & (left > 0)), 1
             while len(i):
-                a = i[_passing(n, place, bits, more, i, i + d)]
-                big = many[a]
-                wanted[a[big]] = True
-                wanted[a[big] + d] = True
-                a = a[~big]
-                later = (ids[a] > ids[a + d]) | ((ids[a] == ids[a + d]) & (number[a] > number[a + d]))
-                x = np.where(later, a, a + d)
-                own = mix64(ids[x].view(U) * U(0x9E3779B97F4A7C15) + number[x].astype(U)) | U(1 << 63)
-                ask += [(ids[a], number[a], own), (ids[a + d], number[a + d], own)]
+                note(i, i + d)
                 d += 1
                 i = i[left[i] >= d]
             for g in np.flatnonzero(size > STEPS):
-                for x in range(edges[g], edges[g + 1]):
-                    y = np.arange(x + 1, edges[g + 1])
-                    y = y[_passing(n, place, bits, more, np.full(len(y), x), y)]
-                    wanted[y] = True
-                    wanted[x] |= len(y) > 0
-            # equal member sets get one name, so groups of several shared words are fetched once
-            w = np.flatnonzero(wanted)
-            if len(w):
-                own = mix64(ids[w].view(U) * U(0x9E3779B97F4A7C15) + number[w].astype(U))
-                cuts = np.flatnonzero(np.concatenate(([True], group[w][1:] != group[w][:-1])))
-                name = mix64(np.add.reduceat(own, cuts)) >> U(1)
-                ask.append((ids[w], number[w], np.repeat(name, np.diff(np.concatenate((cuts, [len(w)]))))))
-            for part, raw in _unique(n_parts, *(np.concatenate(x) for x in zip(*ask))) if ask else ():
+                for y in range(edges[g], edges[g + 1] - 1):
+                    x = np.arange(y + 1, edges[g + 1])
+                    note(np.full(len(x), y), x)
+            x = np.flatnonzero(times)
+            for part, raw in _requests(n_parts, ids, number, near[x], x):
                 kinds.append(REQUEST)
                 keys.append(part)
                 raws.append(raw)
+            y, x = (np.concatenate(c) for c in zip(*listed))
+            other = (times[x] <= SMALL) & (near[x] != y)
+            y, x = y[other], x[other]
+            for part, raw in _grouped(part_of(ids[x], n_parts), ids[x], number[x], ids[y], number[y]):
+                kinds.append(REST)
+                keys.append(part)
+                raws.append(raw)
+            # lines with many partners: the paired lines of their groups; equal groups get one name
+            of = np.repeat(np.arange(len(size)), size)
+            many = np.zeros(len(size), bool)
+            many[of[times > SMALL]] = True
+            w = np.flatnonzero(many[of] & (paired | (times > 0)))
+            if len(w):
+                cuts = np.flatnonzero(np.concatenate(([True], of[w][1:] != of[w][:-1])))
+                name = np.zeros(len(size), U)
+                name[of[w[cuts]]] = mix64(np.add.reduceat(_own(ids[w], number[w]), cuts)) >> U(1)
+                for part, raw in _grouped((name[of[w]] % U(n_parts)).astype(np.int64), ids[w], number[w], name[of[w]]):
+                    kinds.append(MEMBER)
+                    keys.append(part)
+                    raws.append(raw)
+                x = np.flatnonzero(times > SMALL)
+                for part, raw in _grouped(part_of(ids[x], n_parts), ids[x], number[x], name[of[x]]):
+                    kinds.append(LINK)
+                    keys.append(part)
+                    raws.append(raw)
         for kind, k, data in zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), table.column("data")):
             if kind == REPORT:
                 kinds.append(kind)
@@ -443,6 +487,59 @@ def _verify(n_parts):
     return run
 
 
+def _open(n_parts):
+    """A part of the documents after the first round: the reports of that round, requests of the
+    lines it did not match with their other partners, and the names of the groups they want."""
+    def run(key, rest, reports):
+        import pyarrow as pa
+        raws = reports.column("data").to_pylist()
+        kinds, keys = [REPORT] * len(raws), [p.as_py() for p in reports.column("key")]
+        gone = [unpack(x) for x in raws]
+        gone = np.concatenate([_own(*x) for x in gone]) if gone else np.zeros(0, U)
+        pairs, links = [], []
+        for kind, data in zip(rest.column("kind").to_pylist(), rest.column("data")):
+            c = unpack(data.as_py())
+            still = ~np.isin(_own(c[0], c[1]), gone)
+            if kind == REST:
+                pairs.append([x[still].astype(np.int64) for x in c])
+            else:
+                links.append(c[2][still])
+        if pairs:
+            i, k, j, m = (np.concatenate(x) for x in zip(*pairs))
+            at = np.arange(len(i))
+            for part, raw in _requests(n_parts, np.concatenate((i, j)), np.concatenate((k, m)), at + len(i), at):
+                kinds.append(REQUEST)
+                keys.append(part)
+                raws.append(raw)
+        wanted = np.unique(np.concatenate(links)) if links else np.zeros(0, U)
+        for part, raw in _grouped((wanted % U(n_parts)).astype(np.int64), wanted, wanted):
+            kinds.append(WANT)
+            keys.append(part)
+            raws.append(raw)
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "key": pa.array(keys, pa.int64()),
+                         "data": pa.array(raws, pa.binary())})
+    return run
+
+
+def _members(n_parts):
+    """Requests of the lines of the wanted groups."""
+    def run(key, members, wanted):
+        import pyarrow as pa
+        kinds, keys, raws = [], [], []
+        if members.num_rows and wanted.num_rows:
+            names = np.concatenate([unpack(x.as_py())[0] for x in wanted.column("data")])
+            held = [unpack(x.as_py()) for x in members.column("data")]
+            ids, number, name = (np.concatenate(x) for x in zip(*held))
+            mine = np.isin(name, names)
+            for part, raw in _unique(n_parts, ids[mine].astype(np.int64), number[mine].astype(np.int64), name[mine]):
+                kinds.append(REQUEST)
+                keys.append(part)
+                raws.append(raw)
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "key": pa.array(keys, pa.int64()),
+                         "data": pa.array(raws, pa.binary())})
+    return run
+
+
 # -------------------------------------------------------------------- 4. rewriting
 
 def _rewrite(key, docs, reports):
@@ -485,10 +582,19 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     found = docs.mapInArrow(entries, ROW).select(
         "kind", "data", F.col("key").alias("part"), F.pmod("key", F.lit(n_buckets)).alias("bucket"))
     found = cut(found.groupBy("bucket").applyInArrow(_candidates(n_parts), ROW))
-    homes = packed_parts(docs, n_parts).groupBy("part")
-    fetched = homes.cogroup(found.where(F.col("kind") == REQUEST).groupBy("key")).applyInArrow(_fetch(max(1, n_buckets // 2)), SETS)
-    verified = fetched.groupBy("key").applyInArrow(_verify(n_parts), ROW)
-    reports = found.where(F.col("kind") == REPORT).union(verified)
+    homes = packed_parts(docs, n_parts, level=9).groupBy("part")
+
+    def verified(requests):
+        sets = homes.cogroup(requests.groupBy("key")).applyInArrow(_fetch(max(1, n_buckets // 2)), SETS)
+        return sets.groupBy("key").applyInArrow(_verify(n_parts), ROW)
+
+    def of(rows, *kinds):
+        return rows.where(F.col("kind").isin(*kinds))
+    first = verified(of(found, REQUEST))
+    opened = of(found, REST, LINK).groupBy("key").cogroup(first.groupBy("key")).applyInArrow(_open(n_parts), ROW)
+    members = of(found, MEMBER).groupBy("key").cogroup(of(opened, WANT).groupBy("key")).applyInArrow(_members(n_parts), ROW)
+    second = verified(of(opened, REQUEST).union(members))
+    reports = of(found, REPORT).union(of(opened, REPORT)).union(second)
     return homes.cogroup(reports.groupBy("key")).applyInArrow(
         _rewrite, "doc_id long, n_lines long, n_removed long, kept_text string")
 

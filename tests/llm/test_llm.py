@@ -165,7 +165,8 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.op4(empty).count() == 0
 
 
-def test_line_dedup_hot_groups(spark, monkeypatch):
+@pytest.mark.parametrize("small,steps,fold", [(12, 4096, 72), (2, 16, 10)])
+def test_line_dedup_hot_groups(spark, monkeypatch, small, steps, fold):
     rng = random.Random(2)
     base = [f"w{k}" for k in range(40)]
     rows = []
@@ -174,7 +175,13 @@ def test_line_dedup_hot_groups(spark, monkeypatch):
         for _ in range(rng.randint(0, 6)):
             w[rng.randrange(40)] = f"x{rng.randrange(9)}"
         rows.append((i, " ".join(w)))
+    for i in range(120, 160):  # lines on both sides of the fold, with partners on the other one
+        w = [f"y{i % 7}_{k}" for k in range(rng.randint(8, 12))] + ["z"] * rng.randint(0, 1)
+        rows.append((i, " ".join(w)))
     monkeypatch.setattr(line_dedup, "HOT", 30)
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "STEPS", steps)
+    monkeypatch.setattr(line_dedup, "FOLD", fold)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r.doc_id: r.kept_text for r in line_dedup.line_dedup(df).collect()} == _line_brute(rows)
 
