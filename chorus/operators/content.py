@@ -1,26 +1,41 @@
 """Page text extraction (S7) and content records (S8), all JVM expressions.
 
-Text extraction follows an HTML parser's text view: comments, doctype and
-the contents of script/style elements are dropped, every other text node is
-kept (title, nav and footer included) and nodes are concatenated with no
-separator; entities are decoded (``&amp;`` last). The text is then split
-into lines, each line stripped and split on double spaces, the non-empty
-chunks joined with one space; a length cap is a parameter, off by default.
+Text extraction follows an HTML parser's text view: comments, doctype,
+processing instructions and the contents of script/style elements (to the end
+of the page if unclosed) are dropped, every other text node is kept (title, nav
+and footer included) and nodes are concatenated with no separator. One pattern
+removes all markup in one pass from left to right, so a comment sign inside a
+script, or a ``>`` inside a quoted attribute, ends nothing. Entities are decoded
+once: numeric ones (128 to 159 read as windows-1252, impossible code points as
+U+FFFD) and the named ones of HTML 4 plus ``&apos;``, with or without semicolon;
+unknown names stay. The text is then split into lines, each line stripped and
+split on double spaces, the non-empty chunks joined with one space; a length cap
+is a parameter, off by default.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE_TEXT_CAP = 5000  # the cap of the capped form
 
-# named/numeric entities decoded, "&amp;" applied last.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"),
-]
+NAMED = {**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'"}
+CP1252 = {c: ch for c in range(128, 160) if (ch := bytes([c]).decode("cp1252", "ignore"))}
+
+
+def markup(plus: str) -> str:
+    """The pattern of all markup. ``plus`` repeats without backtracking where the
+    dialect has it (``++`` in Java), so that a tag without end costs linear time."""
+    loop = "*+" if plus == "++" else "*"
+    attrs = rf"""(?:=\s*"[^"]*"|=\s*'[^']*'|=|[^>=]{plus}){loop}>"""
+    element = "|".join(rf"<{e}\b{attrs}.*?(?:</{e}\s*>|\z)" for e in ("script", "style"))
+    return rf"(?is)<!--.*?-->|{element}|<[!?][^>]*>|</?[a-z]{attrs}"
+
+
+ENTITY = "^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)(;?)"
 
 # Python's notion of whitespace for str.strip(), and of line breaks for splitlines().
 PY_SPACE = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
@@ -31,16 +46,37 @@ def _pystrip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
 
 
+def _literal_map(d: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+
+
+def decode_entities(text: Column) -> Column:
+    """Each ``&`` starts at most one entity; what it decodes to is not read again."""
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, ENTITY, 1)
+        rest = F.substr(part, F.length(F.regexp_extract(part, ENTITY, 0)) + 1)
+        hexes = F.ltrim(F.substr(name, F.lit(3)), F.lit("0"))
+        is_hex = F.lower(F.substr(name, F.lit(1), F.lit(2))) == "#x"
+        code = (F.when(is_hex & (F.length(hexes) > 8), F.lit("0"))  # beyond every code point
+                .when(is_hex, F.conv(hexes, 16, 10)).when(name.startswith("#"), F.substr(name, F.lit(2)))).try_cast("bigint")
+        legal = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        numeric = (F.when(code.between(128, 159), F.coalesce(F.try_element_at(_literal_map(CP1252), code.cast("int")),
+                                                             _char(code)))
+                   .when(legal, _char(code)).otherwise(F.lit("\ufffd")))
+        char = F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(_literal_map(NAMED), name))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
+    parts = F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(decoded(p)))
+    return F.array_join(parts, "")
+
+
+def _char(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
 def html_text(html: Column, cap: int | None = None) -> Column:
     """Visible text of an HTML document; its first ``cap`` characters if given."""
     h = F.coalesce(html, F.lit(""))
-    h = F.regexp_replace(h, r"(?s)<!--.*?-->", "")
-    h = F.regexp_replace(h, r"(?is)<script\b[^>]*>.*?</script\s*>", "")
-    h = F.regexp_replace(h, r"(?is)<style\b[^>]*>.*?</style\s*>", "")
-    h = F.regexp_replace(h, r"(?s)<![^>]*>", "")
-    h = F.regexp_replace(h, r"(?s)</?[A-Za-z][^>]*>", "")
-    for ent, ch in ENTITIES:
-        h = F.replace(h, F.lit(ent), F.lit(ch))
+    h = decode_entities(F.regexp_replace(h, markup("++"), ""))
     lines = F.split(h, PY_LINES)
     chunks = F.flatten(F.transform(lines, lambda l: F.split(_pystrip(l), "  ")))
     kept = F.filter(F.transform(chunks, _pystrip), lambda c: c != "")

@@ -26,13 +26,25 @@ _SP = _re2(C.PY_SPACE)
 _LN = _re2(C.PY_LINES)
 
 
+def sql_decode_entities(text: str) -> str:
+    lit = vocab.sql_literal
+    named = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in C.NAMED.items()) + "}"
+    cp1252 = "MAP {" + ", ".join(f"{k}: {lit(v)}" for k, v in C.CP1252.items()) + "}"
+    name, whole = (f"regexp_extract(p, '{C.ENTITY}', {g})" for g in (1, 0))
+    code = (f"(CASE WHEN lower({name}[1:2]) = '#x' THEN TRY_CAST('0x' || {name}[3:] AS BIGINT) "
+            f"ELSE TRY_CAST({name}[2:] AS BIGINT) END)")
+    numeric = (f"CASE WHEN {code} BETWEEN 128 AND 159 THEN coalesce(({cp1252})[CAST({code} AS INTEGER)], chr(CAST({code} AS INTEGER))) "
+               f"WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr(CAST({code} AS INTEGER)) "
+               f"ELSE chr(65533) END")
+    char = f"CASE WHEN starts_with({name}, '#') THEN {numeric} ELSE ({named})[{name}] END"
+    part = f"coalesce(({char}) || substr(p, length({whole}) + 1), '&' || p)"
+    return f"array_to_string(list_transform(string_split({text}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {part} END), '')"
+
+
 def sql_html_text(col: str, cap: int | None = None) -> str:
     h = f"coalesce({col}, '')"
-    for pat in [r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>",
-                r"(?s)<![^>]*>", r"(?s)</?[A-Za-z][^>]*>"]:
-        h = f"regexp_replace({h}, '{pat}', '', 'g')"
-    for ent, ch in C.ENTITIES:
-        h = f"replace({h}, {vocab.sql_literal(ent)}, {vocab.sql_literal(ch)})"
+    h = f"regexp_replace({h}, {vocab.sql_literal(C.markup('+'))}, '', 'g')"
+    h = sql_decode_entities(h)
     strip = f"regexp_replace(@X@, '^{_SP}+|{_SP}+$', '', 'g')"
     chunks = (f"flatten(list_transform(string_split_regex({h}, '{_LN}'), "
               f"lambda l: string_split({strip.replace('@X@', 'l')}, '  ')))")
