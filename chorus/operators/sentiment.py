@@ -1,7 +1,7 @@
 """Rule-and-lexicon sentiment scores as one Spark plan.
 
 Per text: whitespace tokens, punctuation stripped unless <= 2 chars would
-remain; each token looks at up to three tokens before it and one after it.
+remain; each token looks at up to three tokens before it and two after it.
 The neighbour context is built inside the row (``transform``), so a single
 explode feeds broadcast joins against the (bounded) lexicon, and only
 lexicon hits plus one statistics row per text reach the shuffle, where a
@@ -12,8 +12,10 @@ Rules (published method): lexicon valence; booster words before a word
 "never so/this" (x1.25); "without doubt"; "least"; ALL-CAPS emphasis
 (+-0.733) when some but not all tokens are capitals; "no" before a lexicon
 word; "kind of"; the first "but" (x0.5 before, x1.5 after); "!" and "?"
-emphasis; compound = s / sqrt(s^2 + 15). Idiom overrides and emoji
-descriptions of the published package are not applied.
+emphasis; compound = s / sqrt(s^2 + 15). Where three tokens stand before a word
+and the third is not in the lexicon, an idiom around the word replaces its valence
+and a booster of two words before it is added. Emoji descriptions of the published
+package are not applied.
 """
 
 from __future__ import annotations
@@ -46,6 +48,20 @@ def _negated(p: Column) -> Column:
     return F.coalesce(p.isin(vocab.NEGATIONS) | p.contains("n't"), F.lit(False))
 
 
+def _values(pairs: list[tuple[str, float]]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+
+
+def _words(*ws: Column) -> Column:
+    return F.concat(*[x for w in ws for x in (F.lit(" "), w)][1:])
+
+
+def _spread(key: Column) -> Column:
+    """A join key whose NULLs (statistics rows, text starts) match nothing and fall into
+    no common partition, should the lexicon be too large to broadcast."""
+    return F.coalesce(key, F.concat(F.lit("\0"), F.xxhash64("sid", "i").cast("string")))
+
+
 def lexicon_for_join(spark, lexicon: DataFrame | None) -> DataFrame:
     """(token, valence) with lower-case unique tokens, marked for broadcast.
     The built-in lexicon has a fixed size; a caller's lexicon is counted once
@@ -53,7 +69,7 @@ def lexicon_for_join(spark, lexicon: DataFrame | None) -> DataFrame:
     if lexicon is None:
         return small(spark, "lexicon")
     lex = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence")) \
-        .groupBy("token").agg(F.max("valence").alias("valence"))
+        .where(F.col("token").isNotNull()).groupBy("token").agg(F.max("valence").alias("valence"))
     return bounded(lex, MAX_BROADCAST_ROWS)
 
 
@@ -81,14 +97,14 @@ def token_rows(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     item = lambda x, i: F.struct(
         i.alias("i"), F.lower(x).alias("tok"), _is_upper(x).alias("up"),
         tok("lw", i - 1).alias("p1"), tok("lw", i - 2).alias("p2"), tok("lw", i - 3).alias("p3"),
-        tok("lw", i + 1).alias("n1"),
+        tok("lw", i + 1).alias("n1"), tok("lw", i + 2).alias("n2"),
         F.coalesce(_is_upper(tok("w", i - 1)), F.lit(False)).alias("p1up"),
         F.coalesce(_is_upper(tok("w", i - 2)), F.lit(False)).alias("p2up"),
         F.coalesce(_is_upper(tok("w", i - 3)), F.lit(False)).alias("p3up"),
     )
     null_s = F.lit(None).cast("string")
     stat = F.struct(F.lit(-1).alias("i"), null_s.alias("tok"), F.lit(False).alias("up"),
-                    null_s.alias("p1"), null_s.alias("p2"), null_s.alias("p3"), null_s.alias("n1"),
+                    null_s.alias("p1"), null_s.alias("p2"), null_s.alias("p3"), null_s.alias("n1"), null_s.alias("n2"),
                     F.lit(False).alias("p1up"), F.lit(False).alias("p2up"), F.lit(False).alias("p3up"))
     items = F.concat(F.array(stat), F.transform("w", item))
     return base.select("sid", "n", "cap_diff", "bi", "blank", "amp", F.explode(items).alias("t")) \
@@ -126,6 +142,13 @@ def _apply_valence(df: DataFrame) -> DataFrame:
                   .when((p3 == "without") & ((p2 == "doubt") | (p1 == "doubt")), nv)
                   .when(_negated(p3), nv * vocab.NEGATION_SCALAR).otherwise(nv))
         df = df.withColumn("v", F.when(p.isNotNull() & ~inp, nv).otherwise(v))
+    tok, n1, n2 = c("tok"), c("n1"), c("n2")
+    # the words after the token come last, so they win; a missing neighbour makes a NULL key
+    idiom = F.coalesce(*[F.try_element_at(_values(vocab.IDIOMS), _words(*ws)) for ws in (
+        (tok, n1, n2), (tok, n1), (p1, tok), (p2, p1, tok), (p2, p1), (p3, p2, p1), (p3, p2))], v)
+    two = sum((F.coalesce(F.try_element_at(_values(vocab.BOOSTERS_TWO_WORDS), _words(*ws)), F.lit(0.0))
+               for ws in ((p3, p2), (p2, p1))), F.lit(0.0))
+    df = df.withColumn("v", F.when(p3.isNotNull() & ~c("in3"), idiom + two).otherwise(v))
     least = (p1 == "least") & ~c("in1")
     i = c("i")
     df = df.withColumn("v", F.when((i > 1) & least, F.when((p2 != "at") & (p2 != "very"), v * vocab.NEGATION_SCALAR)
@@ -145,11 +168,11 @@ def sentiment_scores(df: DataFrame, id_cols, text_col: str, lexicon: DataFrame |
     spark = df.sparkSession
     lex = lexicon_for_join(spark, lexicon)
     rows = token_rows(df, id_cols, text_col)
-    hits = rows.join(lex, rows.tok == lex.token, "left").drop("token") \
+    hits = rows.join(lex, _spread(rows.tok) == lex.token, "left").drop("token") \
         .where((F.col("i") == -1) | F.col("valence").isNotNull())
     for name, col in (("in1", "p1"), ("in2", "p2"), ("in3", "p3"), ("inn", "n1")):
         side = lex.select(F.col("token").alias(f"{name}_t"), F.lit(True).alias(name))
-        hits = hits.join(side, hits[col] == side[f"{name}_t"], "left").drop(f"{name}_t")
+        hits = hits.join(side, _spread(hits[col]) == side[f"{name}_t"], "left").drop(f"{name}_t")
     hits = hits.fillna(False, subset=["in1", "in2", "in3", "inn"])
     hits = _apply_valence(hits).withColumn("v", F.when(F.col("i") >= 0, F.col("v")))
     agg = hits.groupBy("sid").agg(

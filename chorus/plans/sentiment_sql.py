@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from chorus import vocab
 from chorus.plans.common import sql_in_list
+from chorus.vocab import sql_literal
 
 P = r"[!-/:-@\[-`{-~]"
 UPPER = "(upper({x}) = {x} AND lower({x}) <> {x})"
@@ -52,7 +53,7 @@ def sentiment_ctes(lexicon_sql: str | None = None) -> dict[str, str]:
 
     ctes["s_tok"] = f"""
   SELECT sid, n, cap_diff, bi, i, lw[i + 1] AS tok, {_up('w[i + 1]')} AS up,
-         {at('lw', '-1')} AS p1, {at('lw', '-2')} AS p2, {at('lw', '-3')} AS p3, {at('lw', '1')} AS n1,
+         {at('lw', '-1')} AS p1, {at('lw', '-2')} AS p2, {at('lw', '-3')} AS p3, {at('lw', '1')} AS n1, {at('lw', '2')} AS n2,
          coalesce({_up(at('w', '-1'))}, FALSE) AS p1up, coalesce({_up(at('w', '-2'))}, FALSE) AS p2up,
          coalesce({_up(at('w', '-3'))}, FALSE) AS p3up
   FROM (SELECT *, unnest(range(0, n)) AS i FROM s_prep)"""
@@ -94,11 +95,19 @@ def sentiment_ctes(lexicon_sql: str | None = None) -> dict[str, str]:
         ctes[f"s_k{k}"] = f"""
   SELECT *, CASE WHEN {p} IS NOT NULL AND NOT {inp} THEN {nv} ELSE {prev} END AS {cur} FROM {src}"""
         prev = cur
+    idioms, boosts = ("MAP {" + ", ".join(f"{sql_literal(k)}: CAST({x} AS DOUBLE)" for k, x in t) + "}"
+                      for t in (vocab.IDIOMS, vocab.BOOSTERS_TWO_WORDS))
+    around = ", ".join(f"({idioms})[{' || chr(32) || '.join(ws)}]" for ws in (
+        ("tok", "n1", "n2"), ("tok", "n1"), ("p1", "tok"), ("p2", "p1", "tok"), ("p2", "p1"), ("p3", "p2", "p1"), ("p3", "p2")))
+    two = " + ".join(f"coalesce(({boosts})[{a} || chr(32) || {b}], 0.0)" for a, b in (("p3", "p2"), ("p2", "p1")))
+    ctes["s_idiom"] = f"""
+  SELECT *, CASE WHEN p3 IS NOT NULL AND NOT in3 THEN coalesce({around}, {prev}) + {two} ELSE {prev} END AS vi FROM s_k2"""
+    prev = "vi"
     ctes["s_v3"] = f"""
   SELECT sid, i, tok, n1, bi, CASE
       WHEN i > 1 AND p1 = 'least' AND NOT in1 THEN (CASE WHEN p2 <> 'at' AND p2 <> 'very' THEN {prev} * {n_s} ELSE {prev} END)
       WHEN i > 0 AND p1 = 'least' AND NOT in1 THEN {prev} * {n_s}
-      ELSE {prev} END AS vl FROM s_k2"""
+      ELSE {prev} END AS vl FROM s_idiom"""
     ctes["s_v4"] = f"""
   SELECT sid, CASE WHEN tok IN {sql_in_list(vocab.BOOSTERS_UP + vocab.BOOSTERS_DOWN)} THEN 0.0
                    WHEN tok = 'kind' AND n1 = 'of' THEN 0.0

@@ -119,3 +119,29 @@ def test_sentiment_rules(spark, text, compound):
     df = spark.createDataFrame([("a", text)], "id string, t string")
     got = sentiment_scores(df, "id", "t").first()
     assert got.compound == pytest.approx(compound, abs=1e-4)
+
+
+# Hand-worked idioms and boosters of two words (lexicon: bomb -1, heart 1, die -2.9, good 1.9, right 0.5).
+@pytest.mark.parametrize("text,total", [
+    ("I say this is the bomb", 3.0),               # word before and the word itself
+    ("the bomb", -1.0),                            # fewer than three tokens before: no idiom
+    ("it was my broken heart", -2.9),
+    ("a cake here to die for", -2.9),              # no sequence has its word in the middle
+    ("well I said yeah right", -2.0),
+    ("oh kind of very good", 1.9 + 0.293 - 0.293), # "very" one before, "kind of" two and three before
+    ("it is kind of good", 1.9 - 0.293),
+    ("it is just enough good", 1.9 - 0.293),
+    ("good is the bomb", -1.0 + 1.9),              # third token before is in the lexicon: no idiom
+])
+def test_idioms(spark, monkeypatch, text, total):
+    import math
+
+    from chorus.plans import common
+    lex = spark.createDataFrame([("bomb", -1.0), ("heart", 1.0), ("die", -2.9), ("good", 1.9), ("right", 0.5)],
+                                "token string, valence double")
+    df = spark.createDataFrame([("a", text)], "id string, t string")
+    want = pytest.approx(total / math.sqrt(total * total + 15), abs=1e-4)
+    assert sentiment_scores(df, "id", "t", lex).first().compound == want
+    if text.startswith("good"):  # beyond the broadcast bound the joins shuffle, with the same result
+        monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
+        assert sentiment_scores(df, "id", "t", lex).first().compound == want
