@@ -2,17 +2,20 @@
 
 A test item's score for a passage is the BM25 sum over the item's terms that the
 passage holds, divided by the item's own full score, so one threshold serves
-items of any length. Passages are windows of twice the longest item, half
-overlapping, so a copied item lies whole in at least one. Words are compared in
-lower case and without punctuation. Every passage of every
-document is a query, and pruning is that of block-max WAND:
+items of any length. An item's passages are windows of twice its own length, half
+overlapping, so a copied item lies whole in at least one; no other item and no
+block changes them. Words are compared in lower case and without punctuation.
+
+Items are indexed by length class (powers of two), and a class searches windows in
+which every passage of its items lies whole. Pruning is that of block-max WAND:
 
 1. the sum of its terms' list maxima must reach the threshold;
 2. for each block of items, so must the sum of its terms' maxima in the block;
 3. postings are read only in the blocks left; items at or above the threshold
    are retrieved.
 
-A retrieved item counts as contamination when the passage holds at least
+A retrieved item is scored again in each of its own passages of the document. It
+counts as contamination when one reaches the threshold and holds at least
 ``overlap`` of the distinct terms of its question and of its answer (columns
 ``question`` and ``answer`` where the items have them, else the first and
 second half of the text). Pruning never loses an item: the bounds are sums of
@@ -63,6 +66,11 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - first, counts)
 
 
+def length_class(n_words: int) -> int:
+    """The smallest power of two that is at least ``n_words``."""
+    return 1 << max(0, n_words - 1).bit_length()
+
+
 class Index:
     """Inverted index of a block of items with list and block maxima (CSR arrays)."""
 
@@ -70,7 +78,8 @@ class Index:
         """``parts``: (question, answer) texts per item; ``df``: items per term code."""
         words = _codes(texts)
         self.ids = list(ids)
-        self.longest = max([1, *map(len, words)])
+        self.lengths = list(map(len, words))
+        self.half = 2 * length_class(max([1, *self.lengths]))  # holds any passage of twice an item's length
         self.vocab = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
         v = len(self.vocab)
         idf = np.array([np.log(1 + (n_items - df[c] + 0.5) / (df[c] + 0.5)) for c in self.vocab.tolist()])
@@ -81,6 +90,7 @@ class Index:
             terms.append(t)
             items.append(np.full(len(t), i))
             gain.append(g / g.sum() if len(t) else g)
+        self.own = list(zip(terms, gain))
         terms, items, gain = (np.concatenate([*x, np.zeros(0, d)]) for x, d in
                               ((terms, np.int64), (items, np.int64), (gain, float)))
         order = np.lexsort((items, terms))
@@ -108,19 +118,39 @@ class Index:
         out[hit[ok]] = at[ok]
         return out
 
+    def best_passage(self, item: int, at: np.ndarray, term: np.ndarray, threshold: float, overlap: float):
+        """Best (score, question overlap, answer overlap) among the item's own passages of
+        one document, None if none counts. ``at``: word positions of known terms."""
+        own, gain = self.own[item]
+        k = np.minimum(np.searchsorted(own, term), len(own) - 1)
+        hit = own[k] == term
+        half, k = at[hit] // self.lengths[item], k[hit]
+        key = np.unique(np.concatenate((half * len(own) + k, (half[half > 0] - 1) * len(own) + k[half > 0])))
+        start, k = key // len(own), key % len(own)       # distinct terms of each passage
+        first = np.flatnonzero(np.concatenate(([True], start[1:] != start[:-1])))
+        score, best = np.add.reduceat(gain[k], first), None
+        for j in np.flatnonzero(score >= threshold).tolist():
+            held = own[k[first[j]:first[j + 1] if j + 1 < len(first) else len(k)]]
+            share = [float(np.isin(x, held).mean()) if len(x) else 1.0 for x in self.parts[item]]
+            if min(share) >= overlap:
+                found = (float(score[j]), *share)
+                best = max(best or found, found)
+        return best
+
     def search(self, codes: np.ndarray, first: np.ndarray, threshold: float, overlap: float):
         """(document, item, score, question overlap, answer overlap) of contaminated
         documents, the best passage per pair."""
         if not len(self.vocab) or not len(codes):
             return []
-        half, v = self.longest, len(self.vocab)
+        half, v = self.half, len(self.vocab)
         n = np.diff(first)
         halves = -(-n // half)
         base = np.cumsum(halves) - halves
         doc = np.repeat(np.arange(len(n)), n)
         term = self.terms_of(codes)
         on = np.flatnonzero(term >= 0)
-        part = base[doc[on]] + (on - first[doc[on]]) // half
+        where, known, of = on - first[doc[on]], term[on], np.searchsorted(doc[on], np.arange(len(n) + 1))
+        part = base[doc[on]] + where // half
         key = np.unique(part * v + term[on])         # distinct terms of each half passage
         part, term = key // v, key % v
         n_parts = int(halves.sum())
@@ -155,17 +185,16 @@ class Index:
             score = np.bincount(inverse, self.gain[r], len(pair))
             for j in np.flatnonzero(score >= threshold).tolist():
                 passage, item = divmod(int(pair[j]), len(self.ids))
-                held = t[np.searchsorted(q, passage):np.searchsorted(q, passage, "right")]
-                share = [float(np.isin(x, held).mean()) if len(x) else 1.0 for x in self.parts[item]]
-                if min(share) >= overlap:
-                    d = int(np.searchsorted(base + halves, p[passage], "right"))
-                    found = (float(score[j]), *share)
-                    out[d, item] = max(out.get((d, item), found), found)
-        return [(d, self.ids[i], *x) for (d, i), x in sorted(out.items(), key=lambda kv: kv[0])]
+                d = int(np.searchsorted(base + halves, p[passage], "right"))
+                if (d, item) not in out:
+                    a, b = of[d], of[d + 1]
+                    out[d, item] = self.best_passage(item, where[a:b], known[a:b], threshold, overlap)
+        return [(d, self.ids[i], *x) for (d, i), x in sorted(out.items(), key=lambda kv: kv[0]) if x]
 
 
-def build_indexes(items: DataFrame) -> list[Index]:
-    """One index per ``INDEX_BYTES`` of item text; items without a word are left out."""
+def build_indexes(items: DataFrame) -> list[list[Index]]:
+    """Per ``INDEX_BYTES`` of item text the indexes of its length classes; items without
+    a word are left out."""
     cols = set(items.columns)
     qa = {"question", "answer"} <= cols
     src = items.select("item_id", *(["question", "answer"] if qa else []),
@@ -191,11 +220,15 @@ def build_indexes(items: DataFrame) -> list[Index]:
         parts = [((_lower(r["question"]), _lower(r["answer"])) if qa else
                   (" ".join(r["_words"][:(len(r["_words"]) + 1) // 2]), " ".join(r["_words"][(len(r["_words"]) + 1) // 2:])))
                  for r in rows]
-        out.append(Index([r["item_id"] for r in rows], [" ".join(r["_words"]) for r in rows], parts, known, n, mean))
+        classes: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            classes.setdefault(length_class(len(r["_words"])), []).append(i)
+        out.append([Index([rows[i]["item_id"] for i in at], [" ".join(rows[i]["_words"]) for i in at],
+                          [parts[i] for i in at], known, n, mean) for _, at in sorted(classes.items())])
     return out
 
 
-def _scan(batches, index: Index, threshold: float, overlap: float):
+def _scan(batches, indexes: list[Index], threshold: float, overlap: float):
     import pyarrow as pa
     import pyarrow.compute as pc
     for batch, a, b, data, offs in pieces(batches):
@@ -203,7 +236,8 @@ def _scan(batches, index: Index, threshold: float, overlap: float):
         data, offs = arrow_bytes(low if isinstance(low, pa.Array) else low.combine_chunks())
         data, offs = _FOLD[data[offs[0]:offs[-1]]], offs - offs[0]
         starts, ends, first = word_bounds(data, offs)
-        yield batch, a, b, index.search(word_codes(data, starts, ends), first, threshold, overlap)
+        codes = word_codes(data, starts, ends)
+        yield batch, a, b, [f for index in indexes for f in index.search(codes, first, threshold, overlap)]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
@@ -217,35 +251,35 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     rows; other columns are not read."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
-    def scanner(index):
+    def scanner(indexes):
         def run(batches):
             import pyarrow as pa
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            for batch, a, b, found in _scan(batches, index, threshold, overlap):
+            for batch, a, b, found in _scan(batches, indexes, threshold, overlap):
                 if found:
                     ids = batch.column("doc_id").slice(a, b - a).take(pa.array([f[0] for f in found])).cast(pa.int64())
                     cols = [ids, *(pa.array(c, t) for c, t in zip(list(zip(*found))[1:], types[1:]))]
                     yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
         return run
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = [docs.mapInArrow(scanner(index), schema)
-             for index in build_indexes(items.withColumn("item_id", F.col("item_id").cast("long")))]
+    found = [docs.mapInArrow(scanner(indexes), schema)
+             for indexes in build_indexes(items.withColumn("item_id", F.col("item_id").cast("long")))]
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs``, unchanged, that hold no test item (a map, no join)."""
-    def keeper(index):
+    def keeper(indexes):
         def run(batches):
             import pyarrow as pa
-            for batch, a, b, found in _scan(batches, index, threshold, overlap):
+            for batch, a, b, found in _scan(batches, indexes, threshold, overlap):
                 mask = np.ones(b - a, bool)
                 mask[[f[0] for f in found]] = False
                 yield batch.slice(a, b - a).filter(pa.array(mask))
         return run
-    for index in build_indexes(items):
-        docs = docs.mapInArrow(keeper(index), docs.schema)
+    for indexes in build_indexes(items):
+        docs = docs.mapInArrow(keeper(indexes), docs.schema)
     return docs
 
 

@@ -308,6 +308,22 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontamination.contaminated(docs, it.limit(0)).count() == 0
 
 
+def test_decontamination_window_is_the_items_own(spark, monkeypatch):
+    """A short item scattered over a long one's window is no match; long items and blocks change nothing."""
+    short = [f"s{i}" for i in range(15)]
+    scattered = " ".join(w for i, x in enumerate(short) for w in [x, *(f"f{i}x{j}" for j in range(20))])
+    near = "a b c " + " ".join(short) + " d e f"
+    d = spark.createDataFrame([(1, scattered), (2, near), (3, " ".join(f"l{i}" for i in range(600)))], "doc_id long, text string")
+    item = (1, " ".join(short))
+    long = (2, " ".join(f"l{i}" for i in range(600)))
+    for items, size, want in (([item], 2 << 20, {(2, 1)}), ([item, long], 2 << 20, {(2, 1), (3, 2)}),
+                              ([item, long], 40, {(2, 1), (3, 2)})):
+        monkeypatch.setattr(decontamination, "INDEX_BYTES", size)
+        it = spark.createDataFrame(items, "item_id long, text string")
+        assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, it).collect()} == want
+        assert {r.doc_id for r in decontamination.keep_clean(d, it).collect()} == {1, 2, 3} - {i for i, _ in want}
+
+
 # ------------------------------------------------------------------------- 9
 def _simhash(t):
     w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in ws(t)]
