@@ -5,6 +5,7 @@ all but the last return the columns of documents."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chorus.llm.common import cut, read
 from chorus.llm.decontamination import keep_clean
@@ -23,10 +24,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component (3-word shingles, at most 3 bits) the smallest doc_id."""
-    comp = simhash_components(docs, shingle=3, max_bits=3)
-    return docs.join(comp.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti") \
-        .select(*docs.columns)
+    """Of each SimHash component (3-word shingles, at most 3 bits) one row: the smallest
+    by doc_id, null ids last, then by place in ``docs``. Rows are told apart by their
+    place, not by doc_id: rows with a null id are linked like others, exact copies under
+    one id leave one row, and rows of one id with different texts are judged each on its
+    own. ``docs`` must be written (a checkpoint or table), so that places stay the same."""
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    comp = simhash_components(keyed.select(F.col("_row").alias("doc_id"), "text"), shingle=3, max_bits=3) \
+        .select(F.col("doc_id").alias("_row"), "component_id")
+    ranked = comp.join(keyed.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("_rank")), "_row")
+    first = ranked.groupBy("component_id").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    drop = ranked.join(first, "component_id").where(F.col("_row") != F.col("_first._row")).select("_row")
+    return keyed.join(drop, "_row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

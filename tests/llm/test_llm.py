@@ -448,3 +448,12 @@ def test_pipeline_stages(spark):
         if name == "sharding":
             n = Counter(r.shard for r in after)
             assert len(after) >= 40 and set(n) == set(range(40)) and max(n.values()) - min(n.values()) <= 1
+
+
+def test_pipeline_near_duplicates_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i * i % 97}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a), (5, b), (5, b), (7, c), (9, c), (9, d)]
+    fp = [_simhash(t) for t in (a, b, c, d)]
+    assert all((x ^ y).bit_count() > 3 for x in fp for y in fp if x != y) and len(set(fp)) == 4
+    got = corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.cut(spark.createDataFrame(rows, "doc_id long, text string")), "")
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, a), (5, b), (7, c), (9, d)]
