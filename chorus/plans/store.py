@@ -283,13 +283,18 @@ def check_violations(spark, sf):
     return ST.check_violations(store_tables(spark, sf)["content"])
 
 
+def posts_json(spark, sf):
+    """The read-back of the full post records, all columns."""
+    return sinks.write_posts_json(scored_posts(spark, sf), sinks.output_dir(spark, "posts-json"))
+
+
 @query("write_posts_json", _sql("""
 SELECT id, source, title, score, claude_version, sentiment_label, title_compound FROM sp"""))
 def write_posts_json(spark, sf):
-    """Full post records to JSON lines and back."""
-    sp = scored_posts(spark, sf).select("id", "source", "title", "score", "claude_version", "sentiment_label",
+    """Full post records to JSON lines and back; the file holds every column of
+    :func:`scored_posts`, the query shows the ones its SQL names."""
+    return posts_json(spark, sf).select("id", "source", "title", "score", "claude_version", "sentiment_label",
                                         "title_compound")
-    return sinks.write_posts_json(sp, sinks.output_dir(spark, "posts-json"))
 
 
 @query("write_sentiment_csv", _sql(f"""
