@@ -186,6 +186,15 @@ def worker_cache(key, make):
     return store[key]
 
 
+def drop_worker_cache() -> None:
+    """Forget what :func:`worker_cache` holds: a worker that goes on with another stage
+    need not keep an earlier stage's tables."""
+    import sys
+    store = sys.modules.get("_chorus_llm_cache")
+    if store is not None:
+        store.__dict__.clear()
+
+
 def part_of(ids: np.ndarray, n_parts: int) -> np.ndarray:
     """Document part of each id: the rule that lets documents meet reports on them."""
     x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

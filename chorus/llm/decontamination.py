@@ -33,13 +33,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import arrow_bytes, pieces, word_bounds, word_codes
+from chorus.llm.common import arrow_bytes, drop_worker_cache, pieces, word_bounds, word_codes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
 INDEX_BYTES = 2 << 20
 ITEM_BLOCK = 16
+LIVE_CELLS = 1 << 19     # passages x item blocks bounded at once
+PIECE = 1 << 20          # bytes of text scanned at once
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -163,8 +165,10 @@ class Index:
             return []
         at = np.searchsorted(part, np.arange(n_parts + 1))
         out = {}
-        for i in range(0, len(passages), 4096):
-            p = passages[i:i + 4096]
+        nb = max(1, self.n_blocks)
+        group = max(1, min(4096, LIVE_CELLS // nb))
+        for i in range(0, len(passages), group):
+            p = passages[i:i + group]
             end = np.where(last[p], p + 1, p + 2)
             count = at[end] - at[p]
             k = np.unique(np.repeat(np.arange(len(p)), count) * v + term[_ranges(at[p], count)])
@@ -172,7 +176,6 @@ class Index:
             ok = np.bincount(q, self.list_max[t], len(p)) >= threshold
             keep = ok[q]
             q, t = q[keep], t[keep]
-            nb = max(1, self.n_blocks)
             c = self.block_at[t + 1] - self.block_at[t]
             r = _ranges(self.block_at[t], c)
             live = np.bincount(np.repeat(q, c) * nb + self.block[r], self.block_max[r], len(p) * nb) >= threshold  # 2.
@@ -231,7 +234,8 @@ def build_indexes(items: DataFrame) -> list[list[Index]]:
 def _scan(batches, indexes: list[Index], threshold: float, overlap: float):
     import pyarrow as pa
     import pyarrow.compute as pc
-    for batch, a, b, data, offs in pieces(batches):
+    drop_worker_cache()
+    for batch, a, b, data, offs in pieces(batches, limit=PIECE):
         low = pc.utf8_lower(batch.column("text").slice(a, b - a))
         data, offs = arrow_bytes(low if isinstance(low, pa.Array) else low.combine_chunks())
         data, offs = _FOLD[data[offs[0]:offs[-1]]], offs - offs[0]

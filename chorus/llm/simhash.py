@@ -30,12 +30,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import cut, pieces, word_bounds
+from chorus.llm.common import cut, drop_worker_cache, pieces, word_bounds
 from chorus.llm.components import components
 
 BITS = 64
 CELL_ROWS = 4096
 N_REFS = 8
+PIECE = 1 << 20  # bytes of text fingerprinted at once
 
 
 # ------------------------------------------------------------- fingerprints
@@ -81,7 +82,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     ``shingle`` words with repeats (fewer words: the whole sequence; no word: 0)."""
     def run(batches):
         import pyarrow as pa
-        for batch, a, b, data, offs in pieces(batches):
+        drop_worker_cache()
+        for batch, a, b, data, offs in pieces(batches, limit=PIECE):
             fp = _fingerprints(data, offs, shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(fp)], ["doc_id", "fp"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
