@@ -110,12 +110,13 @@ def pieces(batches, text: str = "text", limit: int = PIECE_BYTES) -> Iterator[tu
             a = b
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and each document's first word index."""
+def word_bounds(data: np.ndarray, offs: np.ndarray, chars: np.ndarray = _NONWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words (runs of bytes in ``chars``), and each document's
+    first word index."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    nonws = _NONWS[data]
+    nonws = chars[data]
     first = nonws.copy()
     first[1:] &= ~nonws[:-1]
     at = offs[:-1][offs[:-1] < offs[1:]]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from chorus.llm import decontamination, fingerprints, language_id, line_dedup, mixing, sharding, simhash, substring_dedup, token_counts, warc
+from chorus.llm import (decontamination, fingerprints, language_id, lexical_search, line_dedup, merkle, mixing, pii, sharding,
+                        simhash, substring_dedup, token_counts, warc)
 from chorus.llm.common import read
 
 
@@ -22,4 +23,8 @@ QUERIES = {
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")), None),
     "op9_simhash": (_docs(simhash.op9), None),
     "op10_warc": (lambda spark, sf_dir: warc.op10(read(spark, sf_dir, "pages")), warc.OP10_SQL),
+    "op11_pii": (_docs(pii.op11), None),
+    "op12_lexical_search": (lambda spark, sf_dir: lexical_search.op12(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")), lexical_search.OP12_SQL),
+    "op13_merkle": (_docs(merkle.op13), merkle.OP13_SQL),
 }
