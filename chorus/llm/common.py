@@ -202,8 +202,37 @@ def part_of(ids: np.ndarray, n_parts: int) -> np.ndarray:
     return ((x >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, uid): a number that is one row's own, or shared by rows that are equal in id
+    and text (a null text as an empty one). It orders rows by (doc_id, null last, digest of
+    the text). Where no id repeats it is the id itself; else it is a place in a range
+    partitioning by (doc_id, digest), which is written once."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    most, largest, nulls = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(
+        F.max("n"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if (most or 0) <= 1 and not (nulls and largest == NULL_ID):
+        return docs.withColumn("uid", F.coalesce("doc_id", F.lit(NULL_ID)))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    placed = cut(docs.withColumn("h", digest).repartitionByRange(*order).sortWithinPartitions(*order)
+                 .withColumn("uid", F.monotonically_increasing_id()))
+
+    def first(batches):
+        import pyarrow as pa
+        last = uid = None
+        for batch in batches:
+            out = []
+            for key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "uid"))):
+                if key[:2] != last:
+                    last, uid = key[:2], key[2]
+                out.append(uid)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, pa.int64())],
+                                             ["doc_id", "text", "uid"])
+    return placed.mapInArrow(first, "doc_id long, text string, uid long")
+
+
 def packed_parts(docs: DataFrame, n_parts: int, level: int = 3) -> DataFrame:
-    """(part, data): (doc_id, text) rows dealt by hashed id, those of one part in an Arrow
+    """(part, data): (doc_id, text, uid) rows dealt by hashed uid, those of one part in an Arrow
     batch packed together with zstd, so that the text's shuffle is near its size on disk."""
     def run(batches):
         import pyarrow as pa
@@ -211,7 +240,7 @@ def packed_parts(docs: DataFrame, n_parts: int, level: int = 3) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = part_of(doc_ids(batch, 0, batch.num_rows), n_parts)
+            part = part_of(doc_ids(batch, 0, batch.num_rows, "uid"), n_parts)
             order = np.argsort(part, kind="stable")
             edges = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) > 0, [True]))).tolist()
             keys, raw = [], []
@@ -230,6 +259,6 @@ def packed_parts(docs: DataFrame, n_parts: int, level: int = 3) -> DataFrame:
 
 
 def unpack_part(table):
-    """Record batches (doc_id, text) of one part."""
+    """Record batches (doc_id, text, uid) of one part."""
     import pyarrow.ipc as ipc
     return [b for x in table.column("data") for b in ipc.open_stream(x.as_buffer())]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus.llm.common import (
-    NULL_ID, cut, doc_ids, mix64, packed_parts, part_of, pieces, text_bytes, unpack_part, word_bounds, word_codes)
+    cut, doc_ids, mix64, packed_parts, part_of, pieces, text_bytes, told_apart, unpack_part, word_bounds, word_codes)
 
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
@@ -227,7 +227,7 @@ def _entries(rarity, n_buckets, n_parts):
             place = np.arange(len(line)) - np.repeat(first, n)
             prefix = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
             which = line[first]
-            for h, x in zip(held, (doc_ids(batch, a, b)[doc[which]], number[which], n,
+            for h, x in zip(held, (doc_ids(batch, a, b, "uid")[doc[which]], number[which], n,
                                    bits, more,
                                    np.add.reduceat(mix64(codes), first),
                                    np.add.reduceat(prefix.astype(np.int64), first),
@@ -418,7 +418,7 @@ def _fetch(n_buckets):
             got = []
             for rb, a, b, data, offs in pieces(unpack_part(docs)):
                 begin, doc, num = _lines(data, offs)
-                own = doc_ids(rb, a, b)[doc]
+                own = doc_ids(rb, a, b, "uid")[doc]
                 place = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 mine = (place << 40) + num
                 low, high = np.searchsorted(asked, mine, "left"), np.searchsorted(asked, mine, "right")
@@ -452,7 +452,7 @@ def _verify(n_parts):
         start = np.cumsum(n) - n
         order = np.lexsort((np.add.reduceat(mix64(code), start), n, k, i, g))
         g, i, k, n, start = (x[order] for x in (g, i, k, n, start))
-        # a doc_id that repeats gives one line per number
+        # equal rows have one uid: one line per number
         one = np.concatenate(([True], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (k[1:] != k[:-1])))
         g, i, k, n, start = (x[one] for x in (g, i, k, n, start))
         code = code[_ragged(start, n)]
@@ -550,11 +550,11 @@ def _rewrite(key, docs, reports):
         for i, k in zip(ids.astype(np.int64).tolist(), number.tolist()):
             gone.setdefault(i, set()).add(k)
     doc, n, dropped, kept = [], [], [], []
-    for i, text in ((i, t) for batch in unpack_part(docs)
-                    for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
+    for i, uid, text in (row for batch in unpack_part(docs) for row in zip(
+            batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(), batch.column("text"))):
         doc.append(i)
         lines = (text.as_py() or "").split("\n")
-        out = gone.get(NULL_ID if i is None else i, ())
+        out = gone.get(uid, ())
         rest = [x for j, x in enumerate(lines) if j not in out] if out else lines
         n.append(len(lines) if text.is_valid else 0)
         dropped.append(len(lines) - len(rest))
@@ -569,10 +569,12 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Lines end at a line feed; words are [^\\x20\\x09-\\x0D]+, unchanged. Defined cases: a
     null text has no line and an empty one has one; lines without a word always stay;
-    a null doc_id sorts last; rows that repeat a doc_id are judged as one document by
-    line number, so equal rows get equal results; an empty table gives no rows;
-    other columns are not read."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    a null doc_id sorts last; rows of one doc_id (or of none) with different texts are
+    documents of their own, in the order of their texts' digests, and equal ones are one
+    document with one result; a text of any length is read whole; an empty table gives no
+    rows; other columns are not read. Words are compared by 64-bit codes when sets are
+    collapsed (128 bits of digest a set) and by 40 bits of them when Jaccard is verified."""
+    docs = told_apart(docs)
     size = text_bytes(docs)
     n_buckets, n_parts = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // PART_BYTES))
     rarity = docs.sparkSession.sparkContext.broadcast(word_rarity(docs))

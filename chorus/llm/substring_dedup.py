@@ -5,7 +5,7 @@ codes. A task keeps, of each window sequence it meets, the first place only (the
 others are known to repeat it), so a passage shared by a third of all documents
 reaches the shuffle once per task chunk. What is left is dealt by hash bucket as
 packed arrays; a bucket finds the first place of every sequence and reports all
-later ones. Reports meet their documents by hashed document id, overlapping and
+later ones. Reports meet their documents by hashed row number, overlapping and
 adjacent windows merge into maximal spans, and the spans' words are removed.
 
 Two hashes with different bases are computed per window: 64 bits travel, the
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus.llm.common import (
-    NULL_ID, doc_ids, packed_parts, part_of, pieces, text_bytes, unpack_part, word_bounds, word_codes)
+    doc_ids, packed_parts, part_of, pieces, text_bytes, told_apart, unpack_part, word_bounds, word_codes)
 
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 CHUNK_WINDOWS = 1_500_000  # windows a task holds before it packs them
@@ -135,7 +135,7 @@ def _scatter(width: int, n_buckets: int, n_parts: int):
             h = window_hashes(codes, width, BASES[0])[ok]
             g = (window_hashes(codes, width, BASES[1])[ok] >> np.uint64(24)) % np.uint64(n_buckets)
             g = g.astype(np.uint16 if n_buckets <= 65536 else np.int64)
-            held.append((h, g, doc_ids(batch, a, b)[doc[ok]], place[ok].astype(np.int32)))
+            held.append((h, g, doc_ids(batch, a, b, "uid")[doc[ok]], place[ok].astype(np.int32)))
             n += len(ok)
             if n >= CHUNK_WINDOWS:
                 yield from flush(held)
@@ -191,11 +191,10 @@ def _rewrite(width: int):
         order = np.lexsort((place, ids))
         ids, place = ids[order], place[order]
         out_ids, n, gone, spans, kept = [], [], [], [], []
-        for i, text in ((i, t) for batch in unpack_part(docs)
-                        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
-            out_ids.append(i)
+        for doc_id, i, text in (row for batch in unpack_part(docs) for row in zip(
+                batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(), batch.column("text"))):
+            out_ids.append(doc_id)
             words = (text.as_py() or "").encode().split()
-            i = NULL_ID if i is None else i
             a, b = np.searchsorted(ids, i, "left"), np.searchsorted(ids, i, "right")
             at = np.unique(place[a:b])
             at = at[at + width <= len(words)]
@@ -221,10 +220,11 @@ def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
 
     A word goes if a window of ``width`` words over it starts earlier, by
     (doc_id, place), with the same words. Defined cases: a null or blank text has no
-    words; texts shorter than the window keep all; a null doc_id sorts last; rows
-    that repeat a doc_id are judged as one document by place, so equal ones get
-    equal results; an empty table gives no rows; other columns are not read."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    words; texts shorter than the window keep all; a null doc_id sorts last; rows of
+    one doc_id (or of none) with different texts are documents of their own, in the order
+    of their texts' digests, and equal ones are one document with one result; a text
+    of any length is read whole; an empty table gives no rows; other columns are not read."""
+    docs = told_apart(docs)
     size = text_bytes(docs)
     n_buckets, n_parts = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // PART_BYTES))
     windows = docs.mapInArrow(_scatter(width, n_buckets, n_parts), "bucket long, part long, data binary")
