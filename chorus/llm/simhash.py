@@ -257,6 +257,28 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3) ->
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """Of each component of :func:`simhash_components` one row of ``docs``: the smallest by doc_id,
+    null ids last, then by place in ``docs``, which must be written (a checkpoint or table), so
+    that places stay the same.
+
+    Rows are told apart by their place, not by doc_id: rows with a null id are linked like others,
+    exact copies under one id leave one row, and rows of one id with different texts are
+    judged each on its own. All columns pass unchanged, whatever their names; null, empty and
+    blank texts are one component; an empty table gives no rows."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.monotonically_increasing_id())
+    comp = simhash_components(keyed.select(F.col(key).alias("doc_id"), "text"), shingle, max_bits) \
+        .select(F.col("doc_id").alias("r"), "component_id")
+    own = keyed.select(F.col(key).alias("r"), F.struct(F.col("doc_id").isNull(), "doc_id", key).alias("rank"))
+    ranked = comp.join(own, "r")
+    first = ranked.groupBy("component_id").agg(F.min("rank").alias("least"), F.count("*").alias("n")).where("n > 1")
+    drop = ranked.join(first, "component_id").where(F.col("r") != F.col(f"least.{key}")).select(F.col("r").alias(key))
+    return keyed.join(drop, key, "left_anti").select(*docs.columns)
+
+
 def op9(docs: DataFrame) -> DataFrame:
     out = simhash_components(docs, 3, 3)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
