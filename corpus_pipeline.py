@@ -5,14 +5,13 @@ all but the last return the columns of documents."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chorus.llm.common import cut, read
 from chorus.llm.decontamination import keep_clean
 from chorus.llm.language_id import keep_identified, train, training_rows
 from chorus.llm.mixing import mix_to_weights, take_copies
 from chorus.llm.sharding import interleave_shards
-from chorus.llm.simhash import simhash_components
+from chorus.llm.simhash import keep_one_of_each
 
 SHARDS = 40
 
@@ -24,33 +23,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component (3-word shingles, at most 3 bits) one row: the smallest
-    by doc_id, null ids last, then by place in ``docs``. Rows are told apart by their
-    place, not by doc_id: rows with a null id are linked like others, exact copies under
-    one id leave one row, and rows of one id with different texts are judged each on its
-    own. ``docs`` must be written (a checkpoint or table), so that places stay the same."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    comp = simhash_components(keyed.select(F.col("_row").alias("doc_id"), "text"), shingle=3, max_bits=3) \
-        .select(F.col("doc_id").alias("_row"), "component_id")
-    ranked = comp.join(keyed.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("_rank")), "_row")
-    first = ranked.groupBy("component_id").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    drop = ranked.join(first, "component_id").where(F.col("_row") != F.col("_first._row")).select("_row")
-    return keyed.join(drop, "_row", "left_anti").select(*docs.columns)
+    """Of each SimHash component (3-word shingles, at most 3 bits) one row; see
+    :func:`chorus.llm.simhash.keep_one_of_each` for nulls, repeated rows and names."""
+    return keep_one_of_each(docs, shingle=3, max_bits=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
+    """Rows that hold no benchmark item: null and empty texts stay, repeated rows and null ids
+    are judged each by its text; other columns pass unchanged, whatever their names."""
     return keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as its source's budget takes it; the document on
-    a source's cut is shortened to the words taken, untaken ones go."""
+    a source's cut is shortened to the words taken, untaken ones go. Documents without a
+    word (null, empty, blank) are never taken; a null source is a source of its own; equal rows
+    are interchangeable; an empty table gives an empty mix."""
     return take_copies(mix_to_weights(docs), docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns with shard and slot."""
+    """The documents' columns with shard and slot, every row once: nulls, empty texts and repeated
+    rows are dealt like others; columns of these names are replaced."""
     return interleave_shards(docs, SHARDS)
 
 
