@@ -584,7 +584,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     found = docs.mapInArrow(entries, ROW).select(
         "kind", "data", F.col("key").alias("part"), F.pmod("key", F.lit(n_buckets)).alias("bucket"))
     found = cut(found.groupBy("bucket").applyInArrow(_candidates(n_parts), ROW))
-    homes = packed_parts(docs, n_parts, level=9).groupBy("part")
+    homes = packed_parts(docs, n_parts, level=1).groupBy("part")
 
     def verified(requests):
         sets = homes.cogroup(requests.groupBy("key")).applyInArrow(_fetch(max(1, n_buckets // 2)), SETS)
