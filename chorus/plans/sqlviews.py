@@ -4,7 +4,7 @@ DuckDB oracle. ``with_views(sql, 'posts', ...)`` prepends the CTEs."""
 from __future__ import annotations
 
 from chorus import vocab
-from chorus.sources.tables import EPOCH_2024, N_GOLDEN
+from chorus.sources.tables import EPOCH_2024, FIRST_WORD, N_GOLDEN, TITLE_PATTERN
 
 _GOLDEN = "[" + ", ".join(vocab.sql_literal(t) for t in vocab.TOPIC_TITLES) + "]"
 
@@ -16,8 +16,8 @@ def _posts(golden: bool) -> str:
     CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'hn_' || CAST(doc_id AS VARCHAR) END AS id,
     CASE WHEN doc_id % 2 = 0 THEN 'Reddit' ELSE 'HackerNews' END AS source,
     CASE WHEN doc_id % 2 = 0 THEN d_source ELSE 'HackerNews' END AS subreddit,
-    CASE WHEN g = '' THEN substr(fl, 1, 80) ELSE g || ' ' || substr(fl, 1, 80) END AS title,
-    substr(txt, length(substr(fl, 1, 80)) + 1) AS selftext,
+    CASE WHEN g = '' THEN head ELSE g || ' ' || head END AS title,
+    substr(txt, length(head) + 1) AS selftext,
     n_chars AS score,
     doc_id % 37 AS num_comments,
     {EPOCH_2024} + (doc_id * 7919) % 2592000 AS created_epoch,
@@ -30,9 +30,12 @@ def _posts(golden: bool) -> str:
                                        ELSE 'https://news.ycombinator.com/item?id=' || CAST(doc_id AS VARCHAR) END
          ELSE coalesce(page_url, '') END AS url
   FROM (
-    SELECT d.doc_id, d.source AS d_source, d.n_chars, coalesce(d.text, '') AS txt,
-           split_part(coalesce(d.text, ''), chr(10), 1) AS fl, {g} AS g, p.url AS page_url
-    FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id
+    SELECT *, coalesce(nullif(regexp_extract(fl || ' ', '{TITLE_PATTERN}', 1), ''), regexp_extract(fl, '{FIRST_WORD}', 0)) AS head
+    FROM (
+      SELECT d.doc_id, d.source AS d_source, d.n_chars, coalesce(d.text, '') AS txt,
+             split_part(coalesce(d.text, ''), chr(10), 1) AS fl, {g} AS g, p.url AS page_url
+      FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id
+    )
   )"""
 
 

@@ -16,6 +16,10 @@ from chorus import vocab
 
 EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z
 N_GOLDEN = len(vocab.TOPIC_TITLES)
+TITLE_CHARS = 80
+_WS = r"\t\n\x0B\f\r "
+TITLE_PATTERN = rf"(?s)^(.{{1,{TITLE_CHARS}}})[{_WS}]"
+FIRST_WORD = rf"^[{_WS}]*[^{_WS}]+"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +32,20 @@ def _golden_title(doc_id: Column) -> Column:
     return F.element_at(arr, (doc_id % N_GOLDEN + 1).cast("int"))
 
 
+def title_head(line: Column) -> Column:
+    """The longest start of at most ``TITLE_CHARS`` characters that white space or the line's
+    end follows; the first word (with the white space before it) where that is longer."""
+    short = F.regexp_extract(F.concat(line, F.lit(" ")), TITLE_PATTERN, 1)
+    return F.when(short != "", short).otherwise(F.regexp_extract(line, FIRST_WORD, 0))
+
+
 def posts(spark: SparkSession, sf_dir: str, golden: bool = True,
           urls: bool = False) -> DataFrame:
     """Posts view over ``documents`` (one post per document).
 
-    The title is the first 80 characters of the first line, the selftext
-    everything after them, so no character is lost. ``golden`` puts one of
+    The title is the start of the first line up to the last white space at or before
+    ``TITLE_CHARS`` characters (the first word if that is longer), the selftext everything
+    after it: no character is lost and no word is cut. ``golden`` puts one of
     ``vocab.TOPIC_TITLES`` before the title so model/version extraction has
     something to find (word, network and whole-text queries leave it off); ``urls`` attaches page urls (a join
     with ``pages``), left out when a query does not need them.
@@ -43,7 +55,7 @@ def posts(spark: SparkSession, sf_dir: str, golden: bool = True,
     reddit = doc_id % 2 == 0
     txt = F.coalesce(F.col("text"), F.lit(""))
     first_line = F.substring_index(txt, "\n", 1)
-    head = F.substring(first_line, 1, 80)
+    head = title_head(first_line)
     g = _golden_title(doc_id) if golden else F.lit("")
     sid = doc_id.cast("string")
     cols = [
