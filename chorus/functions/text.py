@@ -155,11 +155,6 @@ def topic_match(title, selftext, terms: list[str]) -> Column:
     return keyword_matches(title, selftext, terms) > 0
 
 
-def decimal_4_3(x) -> Column:
-    """Numeric(4,3) storage (half-up)."""
-    return _c(x).cast("decimal(4,3)")
-
-
 def version_or_label(version, label) -> Column:
     """First non-empty of version, label, 'N/A'."""
     return F.coalesce(F.nullif(_c(version), F.lit("")), F.nullif(_c(label), F.lit("")), F.lit("N/A"))

@@ -1,10 +1,9 @@
 """Result store: four tables derived from analysed posts, and checks on them.
 
 Tables (column types follow the documented schema): search_queries, posts,
-content and sentiment_analyses. JSON documents are JSON strings built with
-``to_json`` and read with ``get_json_object`` / ``from_json``. The
-constraints the reference declares but does not always create (FKs, UNIQUE,
-CHECK) are verified on data (A12, A13, J5).
+content and sentiment_analyses. JSON documents are VARIANT columns in the store
+(:mod:`chorus.sources.store`), read with ``variant_get``. The constraints the reference
+declares but does not always create (FKs, UNIQUE, CHECK) are verified on data (A12, A13, J5).
 """
 
 from __future__ import annotations
@@ -62,7 +61,7 @@ def unique_external_ids(posts: DataFrame) -> DataFrame:
 
 def check_violations(content: DataFrame) -> DataFrame:
     """Success needs a content_text key in the details, failure an error key."""
-    keys = F.json_object_keys("fetch_details")
-    ok = F.when(F.col("fetch_success"), F.array_contains(keys, "content_text")) \
-        .otherwise(F.array_contains(keys, "error"))
+    def has(key):
+        return F.variant_get("fetch_details", f"$.{key}", "variant").isNotNull()
+    ok = F.when(F.col("fetch_success"), has("content_text")).otherwise(has("error"))
     return content.where(~F.coalesce(ok, F.lit(False))).select("id", "post_id", "fetch_success")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -19,14 +20,18 @@ from chorus.plans.catalog import query
 from chorus.plans.common import sql_in_list, sql_tokens
 from chorus.plans.sentiment_sql import sentiment_ctes
 from chorus.plans.sqlviews import with_views
+from chorus.session import cut_lineage
 from chorus.sources import sinks
+from chorus.sources import store as SS
 from chorus.sources.tables import posts, read
 
 EXECUTED_AT = "2024-02-01T00:00:00Z"
 N_RUNS = 3
+TABLES = ("search_queries", "posts", "content", "sentiment_analyses")
 
 
-def scored_posts(spark, sf):
+def derive_scored(spark, sf):
+    """Every post with its title scores, run, label and product version."""
     p = posts(spark, sf, urls=True)
     t = sentiment_scores(p.select("id", "title"), "id", "title").select(
         "id", F.col("compound").alias("title_compound"), F.col("positive").alias("title_positive"),
@@ -37,45 +42,77 @@ def scored_posts(spark, sf):
             .withColumn("claude_version", product_version(F.concat_ws(" ", "title", "selftext"))))
 
 
-def store_tables(spark, sf):
-    sp = scored_posts(spark, sf)
-    sq = ST.run_stats(sp).select(
+def derive_content(spark, sf):
+    """(id, content_text, content_compound) of every post whose link should be fetched; NULL where
+    that gave no text."""
+    elig = eligible_urls(posts(spark, sf, urls=True)).select("id", "pos", "url")
+    cr = cut_lineage(content_records(elig, read(spark, sf, "pages")))
+    cs = sentiment_scores(cr, "post_id", "content_text").select("post_id", F.col("compound").alias("content_compound"))
+    got = cr.select("post_id", "content_text").join(cs, "post_id").withColumnRenamed("post_id", "id")
+    return elig.select("id", "pos").join(got, "id", "left")
+
+
+def _inputs(sf):
+    return [os.path.join(sf, f"{t}.parquet") for t in ("documents", "pages")]
+
+
+def scored_posts(spark, sf):
+    """The scored posts of a run, written once and read by every query over them."""
+    def build(path):
+        derive_scored(spark, sf).withColumn(SS.RUN, F.col("search_query_id")).write.partitionBy(SS.RUN) \
+            .parquet(os.path.join(path, "scored"))
+        return ["scored"]
+    return SS.persisted(spark, "scored", _inputs(sf), build)["scored"].drop(SS.RUN)
+
+
+def store_tables(scored, content):
+    """The four tables of scored posts and their content, each with the run it belongs to;
+    JSON documents as text."""
+    run = F.col("search_query_id").alias(SS.RUN)
+    sq = ST.run_stats(scored).select(
         F.col("search_query_id").alias("id"),
         F.concat(F.lit(vocab.DEFAULT_QUERY + " #"), F.col("search_query_id").cast("string")).alias("query"),
         F.lit("VADER").alias("analysis_method"), "total_posts", "reddit_posts", "hackernews_posts",
-        "avg_sentiment", F.lit(EXECUTED_AT).alias("executed_at"))
-    po = sp.select(
+        "avg_sentiment", F.lit(EXECUTED_AT).alias("executed_at"), run)
+    po = scored.select(
         "id", F.when(F.col("pos") % 97 == 13, F.lit(99)).otherwise(F.col("search_query_id")).alias("search_query_id"),
         "title", "source", F.col("subreddit").alias("community"), "score", "created_epoch",
         F.to_json(F.struct("author", "url", "num_comments")).alias("raw_data"),
-        F.lit(EXECUTED_AT).alias("collected_at"))
-    elig = eligible_urls(posts(spark, sf, urls=True)).select("id", "pos", "url")
-    cr = content_records(elig, read(spark, sf, "pages"))
-    cs = sentiment_scores(cr, "post_id", "content_text").select("post_id", F.col("compound").alias("content_compound"))
+        F.lit(EXECUTED_AT).alias("collected_at"), run)
     ok = F.col("content_text").isNotNull()
-    co_full = elig.join(cr.select(F.col("post_id").alias("id"), "content_text"), "id", "left")
-    co = co_full.select(
+    co = content.select(
         F.col("pos").alias("id"),
         F.when(F.col("pos") % 89 == 11, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id")).alias("post_id"),
         ok.alias("fetch_success"), F.length("content_text").alias("content_length"),
         F.when(ok & (F.col("pos") % 13 == 4), F.to_json(F.struct(F.lit("truncated").alias("note"))))
         .when(ok, F.to_json(F.struct("content_text")))
-        .otherwise(F.to_json(F.struct(F.lit("no page").alias("error")))).alias("fetch_details"))
+        .otherwise(F.to_json(F.struct(F.lit("no page").alias("error")))).alias("fetch_details"),
+        (F.col("pos") % N_RUNS + 1).cast("int").alias(SS.RUN))
     kw = F.filter(X.tokens_az3("title"), lambda w: w.isin(ST.KEYWORDS))
     full = F.to_json(F.struct(F.struct(kw.alias("keywords")).alias("extracted_features"),
                               F.struct((F.col("pos") % 500).alias("processing_time_ms")).alias("analysis_metadata")))
-    with_c = sp.join(co_full.where(ok).select(F.col("id"), F.col("pos").alias("content_id")), "id", "left") \
-        .join(cs.withColumnRenamed("post_id", "id"), "id", "left")
-    sa1 = with_c.select(
-        F.col("pos").alias("id"), F.col("id").alias("post_id"), "content_id", F.lit("VADER").alias("analysis_method"),
+    own = content.where(ok).select("id", F.col("pos").alias("content_id"), "content_compound")
+    # a post is stored once, every 19th a second time under an id of its own
+    ids = F.when(F.col("pos") % 19 == 7, F.array(F.col("pos"), F.col("pos") + 1000000)).otherwise(F.array("pos"))
+    sa = scored.join(own, "id", "left").select(
+        F.explode(ids).alias("id"), F.col("id").alias("post_id"), "content_id", F.lit("VADER").alias("analysis_method"),
         ST.decimal_4_3(F.col("title_compound")).alias("title_compound"), F.col("sentiment_label").alias("title_label"),
         ST.decimal_4_3(F.col("content_compound")).alias("content_compound"),
         F.when(F.col("content_compound").isNotNull(), X.sentiment_label("content_compound")).alias("content_label"),
-        "claude_version", full.alias("full_results"), F.lit(EXECUTED_AT).alias("analyzed_at"), "pos")
-    sa = sa1.unionByName(sa1.where(F.col("pos") % 19 == 7).withColumn("id", F.col("id") + 1000000)).drop("pos")
+        "claude_version", full.alias("full_results"), F.lit(EXECUTED_AT).alias("analyzed_at"), run)
     return {"search_queries": sq, "posts": po, "content": co, "sentiment_analyses": sa}
 
 
+def build_store(spark, sf, path):
+    SS.save(store_tables(scored_posts(spark, sf), cut_lineage(derive_content(spark, sf))), path)
+    return list(TABLES)
+
+
+def stored(spark, sf):
+    """The store's tables, read back; built from the scored posts by the first query that asks."""
+    return SS.persisted(spark, "store", _inputs(sf), lambda path: build_store(spark, sf, path))
+
+
 # ------------------------------------------------------------------ SQL side
 _DEC = "CAST(CAST({x} AS DECIMAL(10,4)) AS DECIMAL(4,3))"
 _LABEL = "CASE WHEN {x} >= 0.05 THEN 'positive' WHEN {x} <= -0.05 THEN 'negative' ELSE 'neutral' END"
@@ -140,7 +177,7 @@ UNION ALL SELECT 'sentiment_analyses', count(*) FROM st_sentiment_analyses"""
 
 def _counts(tables):
     out = None
-    for name in ("search_queries", "posts", "content", "sentiment_analyses"):
+    for name in TABLES:
         c = tables[name].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = c if out is None else out.unionByName(c)
     return out
@@ -149,32 +186,43 @@ def _counts(tables):
 @query("table_status", _sql(_COUNTS_SQL))
 def table_status(spark, sf):
     """Row count per store table."""
-    return _counts(store_tables(spark, sf))
+    return _counts(stored(spark, sf))
 
 
-# every stored column but the JSON documents, whose text form differs between engines
-_PLAIN_COLUMNS = {
+# every stored column; of a JSON document, every field it can hold
+_COLUMNS = {
     "search_queries": ["id", "query", "analysis_method", "total_posts", "reddit_posts", "hackernews_posts",
                        "avg_sentiment", "executed_at"],
-    "posts": ["id", "search_query_id", "title", "source", "community", "score", "created_epoch", "collected_at"],
-    "content": ["id", "post_id", "fetch_success", "content_length"],
+    "posts": ["id", "search_query_id", "title", "source", "community", "score", "created_epoch", "collected_at",
+              ("raw_data", "author"), ("raw_data", "num_comments"), ("raw_data", "url")],
+    "content": ["id", "post_id", "fetch_success", "content_length", ("fetch_details", "content_text"),
+                ("fetch_details", "error"), ("fetch_details", "note")],
     "sentiment_analyses": ["id", "post_id", "content_id", "analysis_method", "title_compound", "title_label",
-                           "content_compound", "content_label", "claude_version", "analyzed_at"],
+                           "content_compound", "content_label", "claude_version", "analyzed_at",
+                           ("full_results", "analysis_metadata.processing_time_ms"),
+                           *(("full_results", f"extracted_features.keywords[{i}]") for i in range(4))],
 }
 
 
-def _row_sql(table: str, cols: list[str]) -> str:
-    row = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cols)
+def _row_sql(table: str, cols: list) -> str:
+    def value(c):
+        return f"CAST({c} AS VARCHAR)" if isinstance(c, str) else f"json_extract_string({c[0]}, '$.{c[1]}')"
+    row = " || '|' || ".join(f"coalesce({value(c)}, '~')" for c in cols)
     return f"SELECT '{table}' AS table_name, CAST(id AS VARCHAR) AS id, {row} AS stored FROM st_{table}"
 
 
-@query("write_store", _sql(" UNION ALL ".join(_row_sql(t, c) for t, c in _PLAIN_COLUMNS.items())))
+@query("write_store", _sql(" UNION ALL ".join(_row_sql(t, c) for t, c in _COLUMNS.items())))
 def write_store(spark, sf):
-    """Write the four tables as parquet (posts partitioned by source) and return every row read back."""
-    back = sinks.write_store(store_tables(spark, sf), sinks.output_dir(spark, "store"))
+    """Write the four tables (partitioned by run, documents as VARIANT) and return every row
+    read back, the fields of its documents included."""
+    path = sinks.output_dir(spark, "store")
+    back = SS.load(spark, path, build_store(spark, sf, path))
+
+    def value(c):
+        return F.col(c).cast("string") if isinstance(c, str) else F.variant_get(c[0], f"$.{c[1]}", "string")
     out = None
-    for table, cols in _PLAIN_COLUMNS.items():
-        row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
+    for table, cols in _COLUMNS.items():
+        row = F.concat_ws("|", *[F.coalesce(value(c), F.lit("~")) for c in cols])
         df = back[table].select(F.lit(table).alias("table_name"), F.col("id").cast("string").alias("id"), row.alias("stored"))
         out = df if out is None else out.unionByName(df)
     return out
@@ -196,8 +244,7 @@ SELECT id, post_id, CAST(title_compound AS DOUBLE) AS title_compound FROM st_sen
 WHERE title_compound > 0.5 AND title_label = 'positive'"""))
 def store_filter(spark, sf):
     """title_compound > 0.5 AND title_label = 'positive' on the stored table; both reach the parquet scan."""
-    sa = sinks.write_store({"sentiment_analyses": store_tables(spark, sf)["sentiment_analyses"]},
-                           sinks.output_dir(spark, "store"))["sentiment_analyses"]
+    sa = stored(spark, sf)["sentiment_analyses"]
     return sa.where((F.col("title_compound") > F.lit(Decimal("0.500"))) & (F.col("title_label") == "positive")).select(
         "id", "post_id", F.col("title_compound").cast("double").alias("title_compound"))
 
@@ -206,9 +253,9 @@ def store_filter(spark, sf):
 SELECT id, post_id FROM st_sentiment_analyses
 WHERE list_contains(CAST(json_extract(full_results, '$.extracted_features.keywords') AS VARCHAR[]), 'claude')"""))
 def json_contains_key(spark, sf):
-    """documents whose extracted_features.keywords array holds 'claude'."""
-    sa = store_tables(spark, sf)["sentiment_analyses"]
-    kws = F.from_json(F.get_json_object("full_results", "$.extracted_features.keywords"), "array<string>")
+    """stored documents whose extracted_features.keywords array holds 'claude'."""
+    sa = stored(spark, sf)["sentiment_analyses"]
+    kws = F.variant_get("full_results", "$.extracted_features.keywords", "array<string>")
     return sa.where(F.array_contains(kws, "claude")).select("id", "post_id")
 
 
@@ -219,12 +266,12 @@ FROM st_posts p JOIN st_sentiment_analyses s ON s.post_id = p.id
 WHERE s.title_compound > 0.8 AND p.source = 'Reddit'"""))
 def join_posts_sentiment(spark, sf):
     """Posts joined to analyses, processing time taken from the JSON document, filters on both sides."""
-    t = store_tables(spark, sf)
+    t = stored(spark, sf)
     p = t["posts"].where(F.col("source") == "Reddit")
     s = t["sentiment_analyses"].where(F.col("title_compound") > F.lit(Decimal("0.800")))
     return p.join(s, s.post_id == p.id).select(
         p.id, p.title, s.title_compound.cast("double").alias("title_compound"),
-        F.get_json_object(s.full_results, "$.analysis_metadata.processing_time_ms").cast("long").alias("processing_time_ms"))
+        F.variant_get(s.full_results, "$.analysis_metadata.processing_time_ms", "bigint").alias("processing_time_ms"))
 
 
 @query("fk_navigation", _sql("""
@@ -235,7 +282,7 @@ LEFT JOIN st_content c ON c.post_id = p.id LEFT JOIN st_sentiment_analyses a ON
 GROUP BY q.id"""))
 def fk_navigation(spark, sf):
     """Search query -> posts -> content (optional) / analyses, counted per query."""
-    t = store_tables(spark, sf)
+    t = stored(spark, sf)
     q, p = t["search_queries"].select(F.col("id").alias("search_query_id")), t["posts"]
     c = t["content"].groupBy("post_id").agg(F.countDistinct("id").alias("nc"))
     a = t["sentiment_analyses"].groupBy("post_id").agg(F.countDistinct("id").alias("na"))
@@ -256,14 +303,14 @@ UNION ALL SELECT 'sentiment_analyses.post_id', count(*) FROM st_sentiment_analys
 UNION ALL SELECT 'sentiment_analyses.content_id', count(*) FROM st_sentiment_analyses a
   WHERE a.content_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM st_content c WHERE c.id = a.content_id)"""))
 def fk_orphans(spark, sf):
-    return ST.fk_orphans(store_tables(spark, sf))
+    return ST.fk_orphans(stored(spark, sf))
 
 
 @query("unique_violations", _sql("""
 SELECT post_id, content_id, analysis_method, count(*) AS n FROM st_sentiment_analyses
 WHERE content_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1"""))
 def unique_violations(spark, sf):
-    return ST.unique_violations(store_tables(spark, sf)["sentiment_analyses"])
+    return ST.unique_violations(stored(spark, sf)["sentiment_analyses"])
 
 
 @query("unique_external_ids", with_views("""
@@ -280,7 +327,7 @@ SELECT id, post_id, fetch_success FROM st_content
 WHERE NOT coalesce(CASE WHEN fetch_success THEN list_contains(json_keys(fetch_details), 'content_text')
                         ELSE list_contains(json_keys(fetch_details), 'error') END, FALSE)"""))
 def check_violations(spark, sf):
-    return ST.check_violations(store_tables(spark, sf)["content"])
+    return ST.check_violations(stored(spark, sf)["content"])
 
 
 def posts_json(spark, sf):
@@ -318,6 +365,23 @@ def json_paths(spark, sf):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+@query("variant_paths", _sql("""
+SELECT id, CAST(json_extract_string(full_results, '$.analysis_metadata.processing_time_ms') AS BIGINT) AS processing_time_ms,
+       json_extract_string(full_results, '$.extracted_features.keywords[0]') AS first_keyword,
+       CAST(json_array_length(full_results, '$.extracted_features.keywords') AS INTEGER) AS n_keywords,
+       json_extract_string(full_results, '$.extracted_features.topics[0].name') AS no_such_path
+FROM st_sentiment_analyses"""))
+def variant_paths(spark, sf):
+    """X18 on stored VARIANT documents: a nested path, an array element, an array's size and a
+    path that no document has (NULL)."""
+    doc = "full_results"
+    return stored(spark, sf)["sentiment_analyses"].select(
+        "id", F.variant_get(doc, "$.analysis_metadata.processing_time_ms", "bigint").alias("processing_time_ms"),
+        F.variant_get(doc, "$.extracted_features.keywords[0]", "string").alias("first_keyword"),
+        F.size(F.variant_get(doc, "$.extracted_features.keywords", "array<string>")).alias("n_keywords"),
+        F.variant_get(doc, "$.extracted_features.topics[0].name", "string").alias("no_such_path"))
+
+
 @query("keyword_array_match", with_views(f"""
 SELECT id, len(list_intersect({sql_tokens('title')}, {sql_in_list(ST.KEYWORDS).replace('(', '[').replace(')', ']')})) > 0
        AS matches_topic FROM posts""", "posts"))

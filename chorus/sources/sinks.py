@@ -21,10 +21,13 @@ CSV_SCHEMA = ("post_id string, title string, subreddit string, source string, cl
               "text_preview string")
 
 
-def output_dir(spark: SparkSession, name: str) -> str:
+def output_root(spark: SparkSession) -> str:
     from chorus.session import ensure_checkpoint_dir
-    base = spark.conf.get("spark.chorus.output.dir", None) or os.path.join(ensure_checkpoint_dir(spark), "out")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    return spark.conf.get("spark.chorus.output.dir", None) or os.path.join(ensure_checkpoint_dir(spark), "out")
+
+
+def output_dir(spark: SparkSession, name: str) -> str:
+    return os.path.join(output_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def write_posts_json(df: DataFrame, path: str) -> DataFrame:
@@ -49,15 +52,3 @@ def write_sentiment_csv(frame: DataFrame, path: str) -> DataFrame:
     return (frame.sparkSession.read.schema(CSV_SCHEMA).option("header", True).option("multiLine", True)
             .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False).csv(path))
-
-
-def write_store(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
-    """Each table as parquet; posts partitioned by source."""
-    out = {}
-    for name, df in tables.items():
-        w = df.write.mode("overwrite")
-        if name == "posts":
-            w = w.partitionBy("source")
-        w.parquet(os.path.join(path, name))
-        out[name] = df.sparkSession.read.parquet(os.path.join(path, name))
-    return out
