@@ -3,25 +3,22 @@
 T3 is one ordered-alternation regex: the leftmost match, and at equal
 positions the first pattern, is exactly "earliest match, ties by priority".
 
-T4 runs per post as: sentences and tokens exploded inside the stage, broadcast
-lookups into the fixed family/tier tables, then only candidate tokens
-(family, tier, version) go through one shuffle on (post, sentence). There,
-windows ordered by token position give each tier/version token the nearest
-family (and each tier the nearest version) in linear time - the last one at or
-before it and the first one after it, ties to the left - instead of pairing
-tokens. Adjacent-sentence pairs (J8) are joined after reducing each side to
-distinct (vendor, version) / (vendor, tier) rows, so the join is bounded by
-the vocabulary, not by the text.
+T4 is one expression over a post's row: its sentences, their tokens and the mentions stay
+arrays of the row, so nothing is shuffled, joined or windowed. A tier or version looks for
+its nearest family (a tier also for its nearest version) among the tokens at most
+``WINDOW`` places away, left before right at equal distance (J7): 25 looks however long
+the sentence is. What is kept once per sentence or post (a vendor's first family, versions
+taken by tiers, pairs across sentences) is kept per distinct value, of which the
+vocabulary has few. Sentence text is attached to the finished mentions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorus import vocab
 from chorus.functions.text import sentences, strip_punct_lower, version_tokens
-from chorus.plans.common import small
 
 WINDOW = 12
 WS = r"[ \t\n\r\f\x0B]+"
@@ -32,17 +29,8 @@ def product_version(text: Column) -> Column:
     t = F.lower(text)
     m = F.nullif(F.regexp_extract(t, "|".join(f"(?:{p})" for p in vocab.PRODUCT_VERSION_PATTERNS), 0), F.lit(""))
     m = F.trim(m)
-    rules = [
-        (r"sonnet\s*(?:4\.5|4-5)", "Sonnet 4.5"), (r"sonnet\s*(?:3\.7|3-7)", "Sonnet 3.7"),
-        (r"sonnet\s*(?:3\.5|3-5)", "Sonnet 3.5"), (r"opus\s*(?:4\.0|4-0|4)", "Opus 4"),
-        (r"opus\s*(?:3\.5|3-5)", "Opus 3.5"), (r"haiku\s*(?:3\.5|3-5)", "Haiku 3.5"),
-        (r"3\.7|3-7", "Claude 3.7"), (r"3\.5|3-5", "Claude 3.5"), (r"3\.0|3-0|\bclaude\s+3\b", "Claude 3"),
-        (r"4\.5|4-5", "Claude 4.5"), (r"4\.0|4-0|\bclaude\s+4\b", "Claude 4"), (r"2\.5|2-5", "Claude 2.5"),
-        (r"2\.0|2-0|\bclaude\s+2\b", "Claude 2"), (r"opus", "Opus"), (r"sonnet", "Sonnet"), (r"haiku", "Haiku"),
-        (r"claude code|claude ai", "Claude"),
-    ]
     out = None
-    for pat, label in rules:
+    for pat, label in vocab.PRODUCT_VERSION_LABELS:
         out = (F.when(m.rlike(pat), F.lit(label)) if out is None else out.when(m.rlike(pat), F.lit(label)))
     # fall-through: title case of a single lower-case word such as "claude3"
     return F.when(m.isNull(), F.lit(None).cast("string")).otherwise(out.otherwise(F.initcap(m)))
@@ -58,156 +46,215 @@ def _content(title: Column, text: Column) -> Column:
     return F.when(x == "", t).when(t == "", x).otherwise(F.concat(t, F.lit(" "), x))
 
 
-def candidate_tokens(df: DataFrame, id_col: str, title_col: str, text_col: str) -> DataFrame:
-    """(post, s_ix, sent, pos, kind, mi, name, vendor0) for family (F), tier (T)
-    and version (V) tokens; every other token is dropped inside the stage."""
-    spark = df.sparkSession
-    s = df.select(F.col(id_col).alias("post"),
-                  F.posexplode(sentences(_content(F.col(title_col), F.col(text_col)))).alias("s_ix", "sent"))
-    # a sentence can only hold a candidate if its lower-case text contains a
-    # family or tier word or a digit (every version token has one): skip the
-    # per-token work for all other sentences (exact pruning)
-    low = F.lower("sent")
-    words = [w for w, _ in vocab.FAMILIES] + [w for w, _ in vocab.TIERS]
-    maybe = F.lit(False)
-    for w in words:
-        maybe = maybe | (F.instr(low, w) > 0)
-    s = s.where(maybe | F.col("sent").rlike("[0-9]"))
-    t = s.select("post", "s_ix", "sent",
-                 F.posexplode(F.filter(F.split("sent", WS), lambda x: x != "")).alias("pos", "tok"))
-    t = t.select("post", "s_ix", "sent", "pos", strip_punct_lower("tok").alias("lt"),
-                 version_tokens("tok").alias("vers"))
-    fam = small(spark, "families").select(F.col("token").alias("f_tok"), F.col("vendor").alias("f_vendor"))
-    tier = small(spark, "tiers").select(F.col("token").alias("t_tok"), F.col("vendor").alias("t_vendor"))
-    t = t.join(fam, t.lt == fam.f_tok, "left").join(tier, t.lt == tier.t_tok, "left")
-    cand = F.struct(F.lit("").alias("kind"), F.lit(0).alias("mi"), F.lit("").alias("name"),
-                    F.lit(None).cast("string").alias("vendor0"))
-    empty = F.filter(F.array(cand), lambda x: F.lit(False))
-    arr = F.concat(
-        F.when(F.col("f_tok").isNotNull(), F.array(F.struct(F.lit("F").alias("kind"), F.lit(0).alias("mi"),
-                                                            F.col("lt").alias("name"),
-                                                            F.col("f_vendor").alias("vendor0")))).otherwise(empty),
-        F.when(F.col("t_tok").isNotNull(), F.array(F.struct(F.lit("T").alias("kind"), F.lit(0).alias("mi"),
-                                                            F.col("lt").alias("name"),
-                                                            F.col("t_vendor").alias("vendor0")))).otherwise(empty),
-        F.transform("vers", lambda v, k: F.struct(F.lit("V").alias("kind"), k.alias("mi"), v.alias("name"),
-                                                   F.lit(None).cast("string").alias("vendor0"))),
-    )
-    return t.where(F.col("f_tok").isNotNull() | F.col("t_tok").isNotNull() | (F.size("vers") > 0)) \
-        .select("post", "s_ix", "sent", "pos", F.explode(arr).alias("c")).select("post", "s_ix", "sent", "pos", "c.*")
-
-
-def _nearest(prev: Column, nxt: Column, pos: Column) -> Column:
-    pick = F.when(prev.isNotNull() & (nxt.isNull() | ((pos - prev["pos"]) <= (nxt["pos"] - pos))), prev).otherwise(nxt)
-    return F.when(F.abs(pick["pos"] - pos) <= WINDOW, pick)
-
-
-def _valid_flag(df: DataFrame, vendor: str, version: str, tier: str, out: str) -> DataFrame:
-    """Semi-join flag against the valid (vendor, version, tier) matrix; NULL is a value."""
-    v = small(df.sparkSession, "valid_combos").select(
-        F.col("vendor").alias("_vv"), F.col("version").alias("_vs"), F.col("tier").alias("_vt"),
-        F.lit(True).alias(out))
-    cond = (df[vendor].eqNullSafe(v["_vv"]) & df[version].eqNullSafe(v["_vs"]) & df[tier].eqNullSafe(v["_vt"]))
-    return df.join(v, cond, "left").drop("_vv", "_vs", "_vt").fillna(False, subset=[out])
-
-
-def sentence_mentions(df: DataFrame, id_col: str, title_col: str, text_col: str) -> DataFrame:
-    """Per-sentence mentions (steps 1-3 of T4) with an order key (s_ix, step, pos, mi)."""
-    c = candidate_tokens(df, id_col, title_col, text_col)
-    ps = Window.partitionBy("post", "s_ix")
-    w = ps.orderBy("pos", "mi")
-    back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    fam_s = F.when(F.col("kind") == "F", F.struct(F.col("pos"), F.col("name"), F.col("vendor0").alias("vendor")))
-    ver_s = F.when((F.col("kind") == "V") & (F.col("mi") == 0), F.struct(F.col("pos"), F.col("name")))
-    c = c.select("*",
-                 F.last(fam_s, True).over(back).alias("pf"), F.first(fam_s, True).over(ahead).alias("nf"),
-                 F.last(ver_s, True).over(back).alias("pv"), F.first(ver_s, True).over(ahead).alias("nv"))
-    c = c.select("post", "s_ix", "sent", "pos", "kind", "mi", "name", "vendor0",
-                 _nearest(F.col("pf"), F.col("nf"), F.col("pos")).alias("fam"),
-                 _nearest(F.col("pv"), F.col("nv"), F.col("pos")).alias("ver"))
-    fam = F.col("fam")
-    prior = (F.when(F.col("name").startswith("4") | F.col("name").startswith("o"), F.lit("openai"))
-             .when(F.col("name").startswith("3"), F.lit("anthropic")))
-    c = c.select(
-        "*",
-        F.when(F.col("kind") == "T", F.coalesce(fam["vendor"], F.col("vendor0")))
-        .when(F.col("kind") == "V", F.coalesce(fam["vendor"], prior))
-        .otherwise(F.col("vendor0")).alias("vendor"),
-        F.when(F.col("kind") == "T", F.col("ver")["name"]).when(F.col("kind") == "V", F.col("name")).alias("version_raw"),
-        F.when(F.col("kind") == "T", F.col("name")).alias("tier"),
-    )
-    c = _valid_flag(c, "vendor", "version_raw", "tier", "valid")
-    version = F.when((F.col("kind") == "T") & F.col("vendor").isNotNull() & F.col("version_raw").isNotNull()
-                     & ~F.col("valid"), F.lit(None).cast("string")).otherwise(F.col("version_raw"))
-    c = c.withColumn("version", version)
-    c = c.withColumn("taken", F.collect_set(F.when(F.col("kind") == "T", F.col("version"))).over(ps))
-    c = c.where(~((F.col("kind") == "V") & F.array_contains("taken", F.col("name"))))
-    c = c.withColumn("used", F.collect_set(F.when(F.col("kind") != "F", F.col("vendor"))).over(ps)) \
-        .withColumn("first_of_vendor", F.min(F.when(F.col("kind") == "F", F.col("pos")))
-                    .over(Window.partitionBy("post", "s_ix", "vendor")))
-    c = c.where((F.col("kind") != "F") | ((F.col("pos") == F.col("first_of_vendor"))
-                                          & ~F.coalesce(F.array_contains("used", F.col("vendor")), F.lit(False))))
-    conf = (F.when(F.col("kind") == "F", F.lit("medium"))
-            .when(fam.isNotNull() & F.col("version").isNotNull(), F.lit("high"))
-            .when((F.col("kind") == "V") & fam.isNotNull(), F.lit("high"))
-            .when(fam.isNotNull() | F.col("vendor").isNotNull(), F.lit("medium")).otherwise(F.lit("low")))
-    vf = small(df.sparkSession, "vendor_family").select(F.col("vendor").alias("_v"), F.col("family").alias("canon"))
-    c = c.join(vf, c.vendor == vf._v, "left")
-    family = F.when(F.col("kind") == "F", F.col("name")).otherwise(F.coalesce(fam["name"], F.col("canon")))
-    step = F.when(F.col("kind") == "T", 1).when(F.col("kind") == "V", 2).otherwise(3)
-    return c.select("post", "s_ix", step.alias("step"), "pos", "mi", "vendor", family.alias("family"),
-                    "version", "tier", conf.alias("confidence"), F.col("sent").alias("text"))
-
-
-def combined_mentions(m: DataFrame) -> DataFrame:
-    """Version-only mention in sentence i with a tier-only mention of the
-    same vendor in i+1 (pass 0) and tier-only in i with version-only in i+1
-    (pass 1); valid combos only (J9), none already present, first one kept."""
-    spark = m.sparkSession
-    vo = m.where(F.col("vendor").isNotNull() & F.col("version").isNotNull() & F.col("tier").isNull()) \
-        .groupBy("post", "s_ix", "vendor", "version").agg(F.min(F.struct("step", "pos", "mi")).alias("o"),
-                                                           F.first("text").alias("text"))
-    to = m.where(F.col("vendor").isNotNull() & F.col("tier").isNotNull() & F.col("version").isNull()) \
-        .groupBy("post", "s_ix", "vendor", "tier").agg(F.min(F.struct("step", "pos", "mi")).alias("o"),
-                                                        F.first("text").alias("text"))
-    a, b = vo.alias("a"), to.alias("b")
-    p0 = a.join(b, (F.col("a.post") == F.col("b.post")) & (F.col("a.vendor") == F.col("b.vendor"))
-                & (F.col("b.s_ix") == F.col("a.s_ix") + 1)).select(
-        F.col("a.post").alias("post"), F.col("a.s_ix").alias("s_ix"), F.lit(0).alias("pass"),
-        F.col("a.o").alias("o1"), F.col("b.o").alias("o2"), F.col("a.vendor").alias("vendor"),
-        F.col("a.version").alias("version"), F.col("b.tier").alias("tier"),
-        F.concat(F.col("a.text"), F.lit(" "), F.col("b.text")).alias("text"))
-    b2, a2 = to.alias("b2"), vo.alias("a2")
-    p1 = b2.join(a2, (F.col("b2.post") == F.col("a2.post")) & (F.col("b2.vendor") == F.col("a2.vendor"))
-                 & (F.col("a2.s_ix") == F.col("b2.s_ix") + 1)).select(
-        F.col("b2.post").alias("post"), F.col("b2.s_ix").alias("s_ix"), F.lit(1).alias("pass"),
-        F.col("b2.o").alias("o1"), F.col("a2.o").alias("o2"), F.col("b2.vendor").alias("vendor"),
-        F.col("a2.version").alias("version"), F.col("b2.tier").alias("tier"),
-        F.concat(F.col("b2.text"), F.lit(" "), F.col("a2.text")).alias("text"))
-    pairs = _valid_flag(p0.unionByName(p1), "vendor", "version", "tier", "valid").where("valid").drop("valid")
-    existing = m.select("post", "vendor", "version", "tier").distinct()
-    pairs = pairs.join(existing, ["post", "vendor", "version", "tier"], "left_anti")
-    best = pairs.groupBy("post", "vendor", "version", "tier").agg(
-        F.min(F.struct("s_ix", "pass", "o1", "o2", "text")).alias("k"))
-    vf = small(spark, "vendor_family").select(F.col("vendor").alias("_v"), F.col("family"))
-    best = best.join(vf, best.vendor == vf._v, "left")
-    return best.select("post", F.col("k.s_ix").alias("s_ix"), F.lit(4).alias("step"), F.col("k.pass").alias("pos"),
-                       F.lit(0).alias("mi"), "vendor", F.coalesce("family", "vendor").alias("family"), "version",
-                       "tier", F.lit("high").alias("confidence"), F.col("k.text").alias("text"),
-                       F.col("k.o1").alias("o1"), F.col("k.o2").alias("o2"))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body looks at it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _lookup(pairs, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, v in pairs if v is not None for x in (k, v)]), key)
+
+
+def _valid(vendor: Column, version: Column, tier: Column) -> Column:
+    """The (vendor, version, tier) combination is in the valid matrix; NULL is a value."""
+    none = F.lit("-")
+    key = F.concat_ws("|", F.coalesce(vendor, none), F.coalesce(version, none), F.coalesce(tier, none))
+    return key.isin(["|".join("-" if x is None else x for x in row) for row in vocab.VALID_COMBOS])
+
+
+def _maybe(sent: Column) -> Column:
+    """A sentence can only hold a candidate if its lower-case text contains a family or tier
+    word or a digit (every version token has one)."""
+    low, out = F.lower(sent), sent.rlike("[0-9]")
+    for w in [w for w, _ in vocab.FAMILIES] + [w for w, _ in vocab.TIERS]:
+        out = out | (F.instr(low, w) > 0)
+    return out
+
+
+def tokens(sent: Column) -> Column:
+    """Tokens of a sentence: lt (X3), vers (X4), fv (vendor of a family), tier (or NULL)."""
+    tiers = [w for w, _ in vocab.TIERS]
+
+    def one(tok):
+        return let(strip_punct_lower(tok), lambda lt: F.struct(
+            lt.alias("lt"), version_tokens(tok).alias("vers"), _lookup(vocab.FAMILIES, lt).alias("fv"),
+            F.when(lt.isin(tiers), lt).alias("tier")))
+    return F.transform(F.filter(F.split(sent, WS), lambda x: x != ""), one)
+
+
+_OFFSETS = [0, *(o for d in range(1, WINDOW + 1) for o in (-d, d))]
+
+
+def _nearest(toks: Column, pos: Column, present) -> Column:
+    """Place of the nearest token that is ``present``, at most WINDOW away, ties to the left."""
+    offsets = F.array(*[F.lit(o) for o in _OFFSETS])
+    return pos + F.get(F.filter(offsets, lambda o: F.coalesce(present(F.get(toks, pos + o)), F.lit(False))), F.lit(0))
+
+
+def _is_family(t: Column) -> Column:
+    return t["fv"].isNotNull()
+
+
+def _has_version(t: Column) -> Column:
+    return F.size(t["vers"]) > 0
+
+
+def anchors(toks: Column) -> Column:
+    """Candidate tokens with their anchors: (pos, t, fp, vp): the token, the places of its nearest
+    family and, for tiers, of its nearest version."""
+    numbered = F.transform(toks, lambda t, i: F.struct(i.alias("pos"), t.alias("t")))
+    cands = F.filter(numbered, lambda c: _is_family(c["t"]) | c["t"]["tier"].isNotNull() | _has_version(c["t"]))
+    return F.transform(cands, lambda c: F.struct(
+        c["pos"].alias("pos"), c["t"].alias("t"),
+        F.when(c["t"]["tier"].isNotNull() | _has_version(c["t"]), _nearest(toks, c["pos"], _is_family)).alias("fp"),
+        F.when(c["t"]["tier"].isNotNull(), _nearest(toks, c["pos"], _has_version)).alias("vp")))
+
+
+def _mention(step, pos, mi, vendor, family, version, tier, confidence) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(step).alias("step"), pos.alias("pos"), mi.alias("mi"), vendor.alias("vendor"),
+                    family.alias("family"), (none if version is None else version).alias("version"),
+                    (none if tier is None else tier).alias("tier"), confidence.alias("confidence"))
+
+
+def _tier_mention(toks: Column, c: Column) -> Column:
+    fam = F.get(toks, c["fp"])
+    vendor = F.coalesce(fam["fv"], _lookup(vocab.TIERS, c["t"]["tier"]))
+    raw = F.get(F.get(toks, c["vp"])["vers"], F.lit(0))
+    version = F.when(vendor.isNotNull() & raw.isNotNull() & ~_valid(vendor, raw, c["t"]["tier"]),
+                     F.lit(None).cast("string")).otherwise(raw)
+    confidence = (F.when(c["fp"].isNotNull() & version.isNotNull(), F.lit("high"))
+                  .when(c["fp"].isNotNull() | vendor.isNotNull(), F.lit("medium")).otherwise(F.lit("low")))
+    return _mention(1, c["pos"], F.lit(0), vendor, F.coalesce(fam["lt"], _lookup(vocab.VENDOR_FAMILY, vendor)), version,
+                    c["t"]["tier"], confidence)
+
+
+def _version_mentions(toks: Column, c: Column) -> Column:
+    fam = F.get(toks, c["fp"])
+
+    def one(v, mi):
+        prior = (F.when(v.startswith("4") | v.startswith("o"), F.lit("openai"))
+                 .when(v.startswith("3"), F.lit("anthropic")))
+        vendor = F.coalesce(fam["fv"], prior)
+        confidence = (F.when(c["fp"].isNotNull(), F.lit("high")).when(vendor.isNotNull(), F.lit("medium"))
+                      .otherwise(F.lit("low")))
+        return _mention(2, c["pos"], mi, vendor, F.coalesce(fam["lt"], _lookup(vocab.VENDOR_FAMILY, vendor)), v, None,
+                        confidence)
+    return F.transform(c["t"]["vers"], one)
+
+
+def _distinct(arr: Column, value) -> Column:
+    """Distinct non-null values over an array; as few as the vocabulary has."""
+    return F.array_distinct(F.filter(F.transform(arr, value), lambda v: v.isNotNull()))
+
+
+def _family_mentions(cands: Column, used: Column) -> Column:
+    """Step 3: the first family of every vendor without a mention so far."""
+    fams = F.filter(cands, lambda c: _is_family(c["t"]))
+    def one(v):
+        first = F.get(F.filter(fams, lambda c: c["t"]["fv"] == v), F.lit(0))
+        return _mention(3, first["pos"], F.lit(0), v, first["t"]["lt"], None, None, F.lit("medium"))
+    return F.transform(F.array_except(_distinct(fams, lambda c: c["t"]["fv"]), used), one)
+
+
+def sentence_mentions(sent: Column) -> Column:
+    """Steps 1-3 of T4 for one sentence: an array of (step, pos, mi, vendor, family, version,
+    tier, confidence)."""
+    def of(toks, cands):
+        tiers = F.transform(F.filter(cands, lambda c: c["t"]["tier"].isNotNull()), lambda c: _tier_mention(toks, c))
+        versions = F.flatten(F.transform(F.filter(cands, lambda c: _has_version(c["t"])), lambda c: _version_mentions(toks, c)))
+
+        def rest(tm):
+            return let(_distinct(tm, lambda m: m["version"]), lambda taken: let(
+                F.concat(tm, F.filter(versions, lambda m: ~F.array_contains(taken, m["version"]))),
+                lambda found: F.concat(found, _family_mentions(cands, _distinct(found, lambda m: m["vendor"])))))
+        return let(tiers, rest)
+    return let(tokens(sent), lambda toks: let(anchors(toks), lambda cands: of(toks, cands)))
+
+
+_MENTIONS = ("array<struct<step:int,pos:int,mi:int,vendor:string,family:string,version:string,tier:string,"
+                      "confidence:string>>")
+
+
+def _pairs(sents_mentions: Column) -> Column:
+    """J8 candidates in order: a version-only mention of sentence i with a tier-only one of the
+    same vendor in i + 1 (pass 0), then tier-only in i with version-only in i + 1 (pass 1).
+    Equal mentions of a sentence count once, at their first place."""
+    def firsts(ms, keep, what):
+        kept = F.filter(ms, lambda m: m["vendor"].isNotNull() & keep(m))
+        keys = F.array_distinct(F.transform(kept, lambda m: F.struct(m["vendor"].alias("vendor"), what(m).alias("what"))))
+        return F.transform(keys, lambda k: let(
+            F.get(F.filter(kept, lambda m: (m["vendor"] == k["vendor"]) & (what(m) == k["what"])), F.lit(0)),
+            lambda m: F.struct(k["vendor"].alias("vendor"), k["what"].alias("what"),
+                               F.struct(m["step"].alias("step"), m["pos"].alias("pos"), m["mi"].alias("mi")).alias("o"))))
+    sides = F.transform(sents_mentions, lambda ms: F.struct(
+        firsts(ms, lambda m: m["version"].isNotNull() & m["tier"].isNull(), lambda m: m["version"]).alias("v"),
+        firsts(ms, lambda m: m["tier"].isNotNull() & m["version"].isNull(), lambda m: m["tier"]).alias("t")))
+
+    def between(sides):
+        def at(i, first, second, number, version, tier):
+            return F.flatten(F.transform(F.get(sides, i)[first], lambda a: F.transform(
+                F.filter(F.get(sides, i + 1)[second], lambda b: b["vendor"] == a["vendor"]), lambda b: F.struct(
+                    i.alias("s_ix"), F.lit(number).alias("pass"), a["o"].alias("o1"), b["o"].alias("o2"),
+                    a["vendor"].alias("vendor"), version(a, b).alias("version"), tier(a, b).alias("tier")))))
+        both = F.transform(sides, lambda _s, i: F.when(i + 1 < F.size(sides), F.concat(
+            at(i, "v", "t", 0, lambda a, b: a["what"], lambda a, b: b["what"]),
+            at(i, "t", "v", 1, lambda a, b: b["what"], lambda a, b: a["what"]))))
+        return F.flatten(F.filter(both, lambda x: x.isNotNull()))
+    return let(sides, between)
+
+
+def _combined(sents_mentions: Column) -> Column:
+    """The first pair of every valid combination that no mention has already."""
+    def key(m):
+        return F.struct(m["vendor"].alias("vendor"), m["version"].alias("version"), m["tier"].alias("tier"))
+    there = F.array_distinct(F.transform(F.flatten(sents_mentions), key))
+    pairs = F.filter(_pairs(sents_mentions), lambda p: _valid(p["vendor"], p["version"], p["tier"]))
+
+    def of(pairs):
+        new = F.array_except(F.array_distinct(F.transform(pairs, key)), there)
+        return F.transform(new, lambda k: F.get(F.filter(pairs, lambda p: key(p) == k), F.lit(0)))
+    return let(pairs, of)
+
+
+def post_mentions(title: Column, text: Column) -> Column:
+    """T4 of one post: an array of (s_ix, step, pos, mi, vendor, family, version, tier, confidence,
+    is_combined, o1, o2, text). Combined mentions (J8) come last; ``o1`` and ``o2`` are
+    the places of their two halves."""
+    order = "struct<step:int,pos:int,mi:int>"
+
+    def rows(sents):
+        def of(per):
+            own = F.flatten(F.transform(per, lambda ms, i: F.transform(ms, lambda m: F.struct(
+                i.alias("s_ix"), *(m[c].alias(c) for c in ("step", "pos", "mi", "vendor", "family", "version", "tier",
+                                                           "confidence")),
+                F.lit(False).alias("is_combined"), F.lit(None).cast(order).alias("o1"), F.lit(None).cast(order).alias("o2"),
+                F.get(sents, i).alias("text")))))
+            comb = F.transform(_combined(per), lambda p: F.struct(
+                p["s_ix"].alias("s_ix"), F.lit(4).alias("step"), p["pass"].alias("pos"), F.lit(0).alias("mi"),
+                p["vendor"].alias("vendor"),
+                F.coalesce(_lookup(vocab.VENDOR_FAMILY, p["vendor"]), p["vendor"]).alias("family"),
+                p["version"].alias("version"), p["tier"].alias("tier"), F.lit("high").alias("confidence"),
+                F.lit(True).alias("is_combined"), p["o1"].alias("o1"), p["o2"].alias("o2"),
+                F.concat(F.get(sents, p["s_ix"]), F.lit(" "), F.get(sents, p["s_ix"] + 1)).alias("text")))
+            return F.concat(own, comb)
+        return let(F.transform(sents, lambda s: F.when(_maybe(s), sentence_mentions(s)).otherwise(
+            F.expr(f"cast(array() as {_MENTIONS})"))), of)
+    return let(sentences(_content(title, text)), rows)
 
 
 def model_mentions(df: DataFrame, id_col: str, title_col: str, text_col: str) -> DataFrame:
-    """T4: all mentions of each post; ``is_combined`` marks the J8 rows, which come last.
-    The per-sentence mentions (a small table: mentions are rare) are written
-    once to the shared checkpoint folder, because J8 reads them three times."""
-    from chorus.session import cut_lineage
-    m = cut_lineage(sentence_mentions(df, id_col, title_col, text_col))
-    comb = combined_mentions(m)
-    o = F.lit(None).cast("struct<step:int,pos:int,mi:int>")
-    return m.withColumns({"is_combined": F.lit(False), "o1": o, "o2": o}).unionByName(
-        comb.withColumn("is_combined", F.lit(True)))
+    """T4: all mentions of each post, one row each."""
+    return df.select(F.col(id_col).alias("post"), F.inline(post_mentions(F.col(title_col), F.col(text_col))))
+
+
+def sentence_anchors(df: DataFrame, id_col: str, title_col: str, text_col: str) -> DataFrame:
+    """(post, s_ix, toks, cands): the tokens and candidates (with J7 anchors) of every sentence that
+    can hold one."""
+    s = df.select(F.col(id_col).alias("post"),
+                  F.posexplode(sentences(_content(F.col(title_col), F.col(text_col)))).alias("s_ix", "sent")).where(_maybe(F.col("sent")))
+    both = let(tokens(F.col("sent")), lambda toks: F.struct(toks.alias("toks"), anchors(toks).alias("cands")))
+    return s.select("post", "s_ix", both.alias("b")).select("post", "s_ix", "b.*")
 
 
 def _cap(x: Column) -> Column:
@@ -230,12 +277,11 @@ def mention_label(vendor: Column, version: Column, tier: Column) -> Column:
     return F.when(vendor == "anthropic", anth).when(vendor == "openai", oai).otherwise(other)
 
 
-def best_model_label(mentions: DataFrame) -> DataFrame:
-    """T5: per post, the first non-Unknown label by (confidence, order); min_by
-    is a partial aggregate, so a post with many mentions is combined map-side."""
-    rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
-    lab = mention_label(F.col("vendor"), F.col("version"), F.col("tier"))
-    m = mentions.withColumn("label", lab).where(F.col("label") != "Unknown")
-    key = F.struct(rank.alias("r"), F.col("is_combined"), F.col("s_ix"), F.col("step"), F.col("pos"), F.col("mi"),
-                   F.col("o1"), F.col("o2"))
-    return m.groupBy("post").agg(F.min_by("label", key).alias("model_label"))
+def best_model_label(title: Column, text: Column) -> Column:
+    """T5: the first non-Unknown label of a post's mentions by (confidence, order); NULL without one."""
+    rank = lambda m: F.when(m["confidence"] == "high", 0).when(m["confidence"] == "medium", 1).otherwise(2)
+    ranked = F.transform(post_mentions(title, text), lambda m: F.struct(
+        rank(m).alias("r"), m["is_combined"].alias("c"), m["s_ix"].alias("s"), m["step"].alias("st"), m["pos"].alias("p"),
+        m["mi"].alias("mi"), m["o1"].alias("o1"), m["o2"].alias("o2"),
+        mention_label(m["vendor"], m["version"], m["tier"]).alias("label")))
+    return F.array_min(F.filter(ranked, lambda m: m["label"] != "Unknown"))["label"]

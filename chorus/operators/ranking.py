@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chorus import vocab
 from chorus.functions.text import keyword_matches, query_terms
 from chorus.plans.common import small
 
@@ -147,13 +151,13 @@ def absolute_permalink(permalink: Column) -> Column:
 def display_links(source: Column, url: Column, discussion: Column, permalink: Column) -> Column:
     """Ordered links shown under a post."""
     u = F.coalesce(url, F.lit(""))
-    internal = (u.startswith("https://www.reddit.com/") | u.startswith("https://v.redd.it/")
-                | u.startswith("https://i.redd.it/"))
+    prefixes = [p for s, p in vocab.INTERNAL_URL_PREFIXES if s == "Reddit"]
+    internal = reduce(or_, (u.startswith(p) for p in prefixes))
     external = (u != "") & ~internal
     perm = F.coalesce(permalink, F.lit(""))
     reddit_first = F.when(perm != "", perm).otherwise(discussion)
     reddit_internal = (F.when(perm != "", perm)
-                       .when(u.startswith("https://www.reddit.com/") & u.contains("/comments/"), u)
+                       .when(u.startswith(prefixes[0]) & u.contains("/comments/"), u)
                        .otherwise(discussion))
     return (F.when(source == "HackerNews",
                    F.when(u != discussion, F.array(discussion, u)).otherwise(F.array(discussion)))

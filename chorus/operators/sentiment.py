@@ -5,7 +5,8 @@ remain; each token looks at up to three tokens before it and two after it.
 The neighbour context is built inside the row (``transform``), so a single
 explode feeds broadcast joins against the (bounded) lexicon, and only
 lexicon hits plus one statistics row per text reach the shuffle, where a
-partial aggregate folds them per text id. No window, no Python UDF.
+partial aggregate folds them per text id. No window, no Python UDF. A lexicon beyond the
+broadcast bound is joined once, with the distinct tokens of each text.
 
 Rules (published method): lexicon valence; booster words before a word
 (+-0.293, damped x0.95 / x0.9 at distance 2 / 3); negation (x-0.74);
@@ -24,7 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorus import vocab
-from chorus.plans.common import MAX_BROADCAST_ROWS, bounded, small
+from chorus.plans import common
+from chorus.plans.common import small
+from chorus.session import cut_lineage
 
 WS = r"[ \t\n\r\f\x0B]+"
 PUNCT = r"[!-/:-@\[-`{-~]"  # exactly ASCII punctuation
@@ -56,31 +59,27 @@ def _words(*ws: Column) -> Column:
     return F.concat(*[x for w in ws for x in (F.lit(" "), w)][1:])
 
 
-def _spread(key: Column) -> Column:
-    """A join key whose NULLs (statistics rows, text starts) match nothing and fall into
-    no common partition, should the lexicon be too large to broadcast."""
-    return F.coalesce(key, F.concat(F.lit("\0"), F.xxhash64("sid", "i").cast("string")))
-
-
-def lexicon_for_join(spark, lexicon: DataFrame | None) -> DataFrame:
-    """(token, valence) with lower-case unique tokens, marked for broadcast.
+def lexicon_for_join(spark, lexicon: DataFrame | None) -> tuple[DataFrame, bool]:
+    """(token, valence) with lower-case unique tokens, and whether it is marked for broadcast.
     The built-in lexicon has a fixed size; a caller's lexicon is counted once
-    and broadcast only if it is within the bound (else a shuffle join)."""
+    and broadcast only if it is within the bound."""
     if lexicon is None:
-        return small(spark, "lexicon")
+        return small(spark, "lexicon"), True
     lex = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence")) \
         .where(F.col("token").isNotNull()).groupBy("token").agg(F.max("valence").alias("valence"))
-    return bounded(lex, MAX_BROADCAST_ROWS)
+    lex = cut_lineage(lex)
+    fits = lex.count() <= common.MAX_BROADCAST_ROWS
+    return (F.broadcast(lex) if fits else lex), fits
 
 
-def token_rows(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-    """One row per token with its neighbours, plus one statistics row (i = -1) per text."""
+def _texts(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
+    """Per text: its words as they are (w) and lower-cased (lw), and what the rules need of the whole."""
     raw = F.coalesce(F.col(text_col), F.lit(""))
     base = df.select(F.struct(*[F.col(c) for c in id_cols]).alias("sid"), raw.alias("raw"))
     base = base.select(
         "sid", "raw",
         F.transform(F.filter(F.split("raw", WS), lambda t: t != ""), _strip_word).alias("w"))
-    base = base.select(
+    return base.select(
         "sid", "w",
         F.transform("w", lambda x: F.lower(x)).alias("lw"),
         F.size("w").alias("n"),
@@ -93,7 +92,15 @@ def token_rows(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
                             THEN (length(raw) - length(replace(raw, '?', ''))) * 0.18
                           ELSE 0.0 END""")).alias("amp"),
     )
-    tok = lambda a, i: F.get(F.col(a), i)  # noqa: E731  (NULL when out of range)
+
+
+_TEXT_COLUMNS = ["sid", "n", "cap_diff", "bi", "blank", "amp"]
+
+
+def _items() -> Column:
+    """The tokens of a text with their neighbours (NULL when out of range), after one entry (i = -1)
+    that stands for the text."""
+    tok = lambda a, i: F.get(F.col(a), i)
     item = lambda x, i: F.struct(
         i.alias("i"), F.lower(x).alias("tok"), _is_upper(x).alias("up"),
         tok("lw", i - 1).alias("p1"), tok("lw", i - 2).alias("p2"), tok("lw", i - 3).alias("p3"),
@@ -106,9 +113,43 @@ def token_rows(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     stat = F.struct(F.lit(-1).alias("i"), null_s.alias("tok"), F.lit(False).alias("up"),
                     null_s.alias("p1"), null_s.alias("p2"), null_s.alias("p3"), null_s.alias("n1"), null_s.alias("n2"),
                     F.lit(False).alias("p1up"), F.lit(False).alias("p2up"), F.lit(False).alias("p3up"))
-    items = F.concat(F.array(stat), F.transform("w", item))
-    return base.select("sid", "n", "cap_diff", "bi", "blank", "amp", F.explode(items).alias("t")) \
-        .select("sid", "n", "cap_diff", "bi", "blank", "amp", "t.*")
+    return F.concat(F.array(stat), F.transform("w", item))
+
+
+def token_rows(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
+    """One row per token with its neighbours, plus one statistics row (i = -1) per text."""
+    return _texts(df, id_cols, text_col).select(*_TEXT_COLUMNS, F.explode(_items()).alias("t")).select(*_TEXT_COLUMNS, "t.*")
+
+
+def _hits_by_broadcast(df: DataFrame, id_cols: list[str], text_col: str, lex: DataFrame) -> DataFrame:
+    """Lexicon hits and statistics rows; the lexicon is small enough for every task to hold it."""
+    rows = token_rows(df, id_cols, text_col)
+    hits = rows.join(lex, rows.tok == lex.token, "left").drop("token") \
+        .where((F.col("i") == -1) | F.col("valence").isNotNull())
+    for name, col in (("in1", "p1"), ("in2", "p2"), ("in3", "p3"), ("inn", "n1")):
+        side = lex.select(F.col("token").alias(f"{name}_t"), F.lit(True).alias(name))
+        hits = hits.join(side, hits[col] == side[f"{name}_t"], "left").drop(f"{name}_t")
+    return hits.fillna(False, subset=["in1", "in2", "in3", "inn"])
+
+
+def _hits_by_dictionary(df: DataFrame, id_cols: list[str], text_col: str, lex: DataFrame) -> DataFrame:
+    """The same rows with a lexicon of any size: the distinct tokens of each text meet it in one
+    join, the found ones come back to the text as its dictionary, and valences and the
+    neighbours' flags are looked up there. A token that every text holds is one row a text."""
+    texts = cut_lineage(_texts(df, id_cols, text_col))
+    distinct = texts.select("sid", F.explode(F.array_distinct("lw")).alias("tok"))
+    known = distinct.join(lex, distinct.tok == lex.token).groupBy("sid").agg(
+        F.map_from_entries(F.collect_list(F.struct("tok", "valence"))).alias("known"))
+    both = texts.join(known, "sid", "left")
+
+    def there(key):
+        return F.coalesce(F.try_element_at(F.col("known"), key).isNotNull(), F.lit(False))
+    rated = F.transform(_items(), lambda t: F.struct(
+        *(t[c].alias(c) for c in ("i", "tok", "up", "p1", "p2", "p3", "n1", "n2", "p1up", "p2up", "p3up")),
+        F.try_element_at(F.col("known"), t["tok"]).alias("valence"), there(t["p1"]).alias("in1"), there(t["p2"]).alias("in2"),
+        there(t["p3"]).alias("in3"), there(t["n1"]).alias("inn")))
+    hits = F.filter(rated, lambda t: (t["i"] == -1) | t["valence"].isNotNull())
+    return both.select(*_TEXT_COLUMNS, F.explode(hits).alias("t")).select(*_TEXT_COLUMNS, "t.*")
 
 
 def _apply_valence(df: DataFrame) -> DataFrame:
@@ -166,14 +207,8 @@ def sentiment_scores(df: DataFrame, id_cols, text_col: str, lexicon: DataFrame |
     Blank or NULL text scores (0, 0, 1, 0). ``id_cols`` must be a unique key."""
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     spark = df.sparkSession
-    lex = lexicon_for_join(spark, lexicon)
-    rows = token_rows(df, id_cols, text_col)
-    hits = rows.join(lex, _spread(rows.tok) == lex.token, "left").drop("token") \
-        .where((F.col("i") == -1) | F.col("valence").isNotNull())
-    for name, col in (("in1", "p1"), ("in2", "p2"), ("in3", "p3"), ("inn", "n1")):
-        side = lex.select(F.col("token").alias(f"{name}_t"), F.lit(True).alias(name))
-        hits = hits.join(side, _spread(hits[col]) == side[f"{name}_t"], "left").drop(f"{name}_t")
-    hits = hits.fillna(False, subset=["in1", "in2", "in3", "inn"])
+    lex, fits = lexicon_for_join(spark, lexicon)
+    hits = (_hits_by_broadcast if fits else _hits_by_dictionary)(df, id_cols, text_col, lex)
     hits = _apply_valence(hits).withColumn("v", F.when(F.col("i") >= 0, F.col("v")))
     agg = hits.groupBy("sid").agg(
         F.max(F.when(F.col("i") == -1, F.col("n"))).alias("n"),

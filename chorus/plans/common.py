@@ -20,14 +20,6 @@ def small(spark, name: str) -> DataFrame:
     return F.broadcast(vocab.table(spark, name))
 
 
-def bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a caller-supplied table only after checking its size
-    (one cheap count of a table that is small by contract); larger tables
-    are returned as they are and Catalyst/AQE choose a shuffle join."""
-    n = df.count()
-    return F.broadcast(df) if n <= min(max_rows, MAX_BROADCAST_ROWS) else df
-
-
 # SQL fragment: X1 tokens of a text expression (DuckDB).
 def sql_tokens(expr: str) -> str:
     return (f"list_filter(string_split_regex(lower(coalesce({expr}, '')), '[^\\p{{L}}\\p{{N}}_]+'), "

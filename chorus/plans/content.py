@@ -107,9 +107,10 @@ _CJ["t_in"] = "SELECT id AS sid, title AS text FROM posts"
 SELECT p.id, length(c.content_text) AS content_length, s.compound AS content_compound
 FROM posts p LEFT JOIN content c ON c.post_id = p.id LEFT JOIN sent_out s ON s.sid = p.id""", "posts", extra=_CS))
 def join_content(spark, sf):
-    """Results left-joined to content by post id; posts without content keep NULLs."""
-    c = content_records(spark, sf)
-    s = sentiment_scores(c, "post_id", "content_text").select("post_id", F.col("compound").alias("content_compound"))
-    cc = c.join(s, "post_id").select(F.col("post_id").alias("id"),
-                                    F.length("content_text").alias("content_length"), "content_compound")
-    return posts(spark, sf).select("id").join(cc, "id", "left")
+    """Results left-joined to content by post id; posts without content keep NULLs. The length
+    goes through T1 with the key, so that the content is read once."""
+    c = content_records(spark, sf).select(F.col("post_id").alias("id"), F.length("content_text").alias("content_length"),
+                                          "content_text")
+    s = sentiment_scores(c, ["id", "content_length"], "content_text")
+    return posts(spark, sf).select("id").join(
+        s.select("id", "content_length", F.col("compound").alias("content_compound")), "id", "left")

@@ -13,16 +13,7 @@ from chorus.sources.tables import posts
 
 # ----------------------------------------------------------------- SQL side
 _ALT = "|".join(f"(?:{p})" for p in vocab.PRODUCT_VERSION_PATTERNS)
-_NORM = [
-    (r"sonnet\s*(?:4\.5|4-5)", "Sonnet 4.5"), (r"sonnet\s*(?:3\.7|3-7)", "Sonnet 3.7"),
-    (r"sonnet\s*(?:3\.5|3-5)", "Sonnet 3.5"), (r"opus\s*(?:4\.0|4-0|4)", "Opus 4"),
-    (r"opus\s*(?:3\.5|3-5)", "Opus 3.5"), (r"haiku\s*(?:3\.5|3-5)", "Haiku 3.5"),
-    (r"3\.7|3-7", "Claude 3.7"), (r"3\.5|3-5", "Claude 3.5"), (r"3\.0|3-0|\bclaude\s+3\b", "Claude 3"),
-    (r"4\.5|4-5", "Claude 4.5"), (r"4\.0|4-0|\bclaude\s+4\b", "Claude 4"), (r"2\.5|2-5", "Claude 2.5"),
-    (r"2\.0|2-0|\bclaude\s+2\b", "Claude 2"), (r"opus", "Opus"), (r"sonnet", "Sonnet"), (r"haiku", "Haiku"),
-    (r"claude code|claude ai", "Claude"),
-]
-_SQL_VERSION = ("CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN '{lab}'" for p, lab in _NORM)
+_SQL_VERSION = ("CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN '{lab}'" for p, lab in vocab.PRODUCT_VERSION_LABELS)
                 + " ELSE upper(substr(m, 1, 1)) || substr(m, 2) END")
 _SQL_PV = f"""
   SELECT id, CASE WHEN m IS NULL THEN NULL ELSE {_SQL_VERSION} END AS claude_version FROM (
@@ -168,55 +159,58 @@ def product_version(spark, sf):
     return p.select("id", M.product_version(F.concat_ws(" ", "title", "selftext")).alias("claude_version"))
 
 
-@query("sentences", _sql("SELECT post AS id, CAST(len(sl) AS BIGINT) AS n_sentences FROM m_sl"))
+@query("sentences", _sql("""
+SELECT post AS id, CAST(len(sl) AS BIGINT) AS n_sentences, md5(array_to_string(sl, chr(1))) AS sentences_md5 FROM m_sl"""))
 def sentences_q(spark, sf):
-    """X2 over the whole post content."""
+    """X2 over the whole post content: how many sentences, and the digest of their texts."""
     p = _posts(spark, sf)
-    return p.select(F.col("id"), F.size(X.sentences(M._content(F.col("title"), F.col("selftext"))))
-                    .cast("long").alias("n_sentences"))
+    s = p.select("id", X.sentences(M._content(F.col("title"), F.col("selftext"))).alias("s"))
+    return s.select("id", F.size("s").cast("long").alias("n_sentences"),
+                    F.md5(F.array_join("s", "\x01").cast("binary")).alias("sentences_md5"))
 
 
 @query("strip_punct_tokens", _sql("""
-SELECT post AS id, count(*) AS n_tokens, count(*) FILTER (WHERE lt = '') AS n_punct_only FROM m_toks GROUP BY post"""))
+SELECT post AS id, count(*) AS n_tokens, count(*) FILTER (WHERE lt = '') AS n_punct_only,
+       md5(string_agg(lt, ' ' ORDER BY s_ix, pos)) AS tokens_md5 FROM m_toks GROUP BY post"""))
 def strip_punct_tokens(spark, sf):
-    """Whitespace tokens per post and how many are punctuation only."""
-    p = _posts(spark, sf)
-    s = p.select("id", F.explode(X.sentences(M._content(F.col("title"), F.col("selftext")))).alias("sent"))
-    t = s.select("id", F.explode(F.filter(F.split("sent", M.WS), lambda x: x != "")).alias("tok"))
-    lt = X.strip_punct_lower("tok")
-    return t.groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(lt == "").alias("n_punct_only"))
+    """Whitespace tokens per post, how many are punctuation only, and the digest of all."""
+    sents = X.sentences(M._content(F.col("title"), F.col("selftext")))
+    toks = F.flatten(F.transform(sents, lambda s: F.filter(F.split(s, M.WS), lambda x: x != "")))
+    t = _posts(spark, sf).select("id", F.transform(toks, X.strip_punct_lower).alias("t")).where(F.size("t") > 0)
+    return t.select("id", F.size("t").cast("long").alias("n_tokens"),
+                    F.size(F.filter("t", lambda x: x == "")).cast("long").alias("n_punct_only"),
+                    F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
+
+
+def _anchors(spark, sf):
+    return M.sentence_anchors(_posts(spark, sf), "id", "title", "selftext")
 
 
 @query("version_tokens", _sql("SELECT post, s_ix, pos, mi, name AS version FROM m_cand WHERE kind = 'V'"))
 def version_tokens_q(spark, sf):
     """Version matches inside whitespace tokens, with token index."""
-    c = M.candidate_tokens(_posts(spark, sf), "id", "title", "selftext")
-    return c.where(F.col("kind") == "V").select("post", "s_ix", "pos", "mi", F.col("name").alias("version"))
+    c = _anchors(spark, sf).select("post", "s_ix", F.inline("cands"))
+    return c.select("post", "s_ix", "pos", F.posexplode("t.vers").alias("mi", "version"))
 
 
 @query("nearest_anchor", _sql("""
 SELECT post, s_ix, pos, mi, kind, fam.pos AS fam_pos, fam.name AS fam_token, ver.pos AS ver_pos, ver.name AS ver_name
 FROM m_near WHERE kind IN ('T', 'V')"""))
 def nearest_anchor(spark, sf):
-    """Nearest family (and, for tiers, nearest version) within 12 tokens, ties to the left."""
-    m = _near(spark, sf)
-    return m.where(F.col("kind").isin("T", "V")).select(
-        "post", "s_ix", "pos", "mi", "kind", F.col("fam.pos").alias("fam_pos"), F.col("fam.name").alias("fam_token"),
-        F.col("ver.pos").alias("ver_pos"), F.col("ver.name").alias("ver_name"))
-
-
-def _near(spark, sf):
-    from pyspark.sql import Window
-    c = M.candidate_tokens(_posts(spark, sf), "id", "title", "selftext")
-    w = Window.partitionBy("post", "s_ix").orderBy("pos", "mi")
-    back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    fam_s = F.when(F.col("kind") == "F", F.struct(F.col("pos"), F.col("name"), F.col("vendor0").alias("vendor")))
-    ver_s = F.when((F.col("kind") == "V") & (F.col("mi") == 0), F.struct(F.col("pos"), F.col("name")))
-    c = c.select("*", F.last(fam_s, True).over(back).alias("pf"), F.first(fam_s, True).over(ahead).alias("nf"),
-                 F.last(ver_s, True).over(back).alias("pv"), F.first(ver_s, True).over(ahead).alias("nv"))
-    return c.select("post", "s_ix", "pos", "mi", "kind", M._nearest(F.col("pf"), F.col("nf"), F.col("pos")).alias("fam"),
-                    M._nearest(F.col("pv"), F.col("nv"), F.col("pos")).alias("ver"))
+    """Nearest family (and nearest version) within 12 tokens, ties to the left."""
+    a = _anchors(spark, sf)
+    toks = F.col("toks")
+    c = F.transform("cands", lambda c: F.struct(c["pos"].alias("pos"), c["t"].alias("t"), c["fp"].alias("fam_pos"),
+                                                M._nearest(toks, c["pos"], M._has_version).alias("ver_pos")))
+    named = F.transform(c, lambda c: F.struct(
+        c["pos"].alias("pos"), c["t"].alias("t"), c["fam_pos"].alias("fam_pos"),
+        F.get(toks, c["fam_pos"])["lt"].alias("fam_token"), c["ver_pos"].alias("ver_pos"),
+        F.get(F.get(toks, c["ver_pos"])["vers"], F.lit(0)).alias("ver_name")))
+    kinds = F.concat(F.when(F.col("t.tier").isNotNull(), F.array(F.struct(F.lit("T").alias("kind"), F.lit(0).alias("mi"))))
+                     .otherwise(F.expr("cast(array() as array<struct<kind:string,mi:int>>)")),
+                     F.transform("t.vers", lambda v, i: F.struct(F.lit("V").alias("kind"), i.alias("mi"))))
+    rows = a.select("post", "s_ix", F.inline(named))
+    return rows.select("post", "s_ix", "pos", "fam_pos", "fam_token", "ver_pos", "ver_name", F.inline(kinds))
 
 
 _MCOLS = ["post", "s_ix", "step", "pos", "mi", "vendor", "family", "version", "tier", "confidence", "text"]
@@ -225,20 +219,22 @@ _MCOLS = ["post", "s_ix", "step", "pos", "mi", "vendor", "family", "version", "t
 @query("valid_combo", _sql("SELECT post, s_ix, pos, vendor, version_raw, tier, version FROM m_valid WHERE kind = 'T'"))
 def valid_combo(spark, sf):
     """Tier mentions; a version outside the valid matrix is dropped."""
-    m = M.sentence_mentions(_posts(spark, sf), "id", "title", "selftext")
-    # version_raw is internal to the operator; recompute the view the oracle shows
-    t = m.where(F.col("step") == 1)
-    near = _near(spark, sf).where(F.col("kind") == "T").select("post", "s_ix", "pos",
-                                                              F.col("ver.name").alias("version_raw"))
-    return t.join(near, ["post", "s_ix", "pos"]).select("post", "s_ix", "pos", "vendor", "version_raw", "tier", "version")
+    a = _anchors(spark, sf)
+    toks = F.col("toks")
+    t = F.transform(F.filter("cands", lambda c: c["t"]["tier"].isNotNull()), lambda c: M.let(
+        M._tier_mention(toks, c), lambda m: F.struct(
+            m["pos"].alias("pos"), m["vendor"].alias("vendor"),
+            F.get(F.get(toks, c["vp"])["vers"], F.lit(0)).alias("version_raw"), m["tier"].alias("tier"),
+            m["version"].alias("version"))))
+    return a.select("post", "s_ix", F.inline(t))
 
 
 @query("adjacent_sentence_pairs", _sql("""
 SELECT post, s_ix, pos AS pass, vendor, family, version, tier, text FROM m_comb"""))
 def adjacent_sentence_pairs(spark, sf):
-    m = M.sentence_mentions(_posts(spark, sf), "id", "title", "selftext")
-    return M.combined_mentions(m).select("post", "s_ix", F.col("pos").alias("pass"), "vendor", "family", "version",
-                                         "tier", "text")
+    m = M.model_mentions(_posts(spark, sf), "id", "title", "selftext")
+    return m.where("is_combined").select("post", "s_ix", F.col("pos").alias("pass"), "vendor", "family", "version", "tier",
+                                         "text")
 
 
 @query("model_mentions", _sql(f"SELECT {', '.join(_MCOLS)}, is_combined FROM m_all"))
@@ -255,15 +251,15 @@ def label_format(spark, sf):
 
 @query("best_model_label", _sql("SELECT post, model_label FROM m_best"))
 def best_model_label(spark, sf):
-    return M.best_model_label(M.model_mentions(_posts(spark, sf), "id", "title", "selftext"))
+    label = M.best_model_label(F.col("title"), F.col("selftext"))
+    return _posts(spark, sf).select(F.col("id").alias("post"), label.alias("model_label")).where("model_label is not null")
 
 
 def labelled_posts(spark, sf):
     """Posts with claude_version (T3) and model_label (T5) columns."""
-    p = posts(spark, sf)
-    pv = M.product_version(F.concat_ws(" ", "title", "selftext"))
-    best = M.best_model_label(M.model_mentions(p.select("id", "title", "selftext"), "id", "title", "selftext"))
-    return p.withColumn("claude_version", pv).join(best.withColumnRenamed("post", "id"), "id", "left")
+    return posts(spark, sf).withColumns({
+        "claude_version": M.product_version(F.concat_ws(" ", "title", "selftext")),
+        "model_label": M.best_model_label(F.col("title"), F.col("selftext"))})
 
 
 _SQL_LABELLED = f"""

@@ -21,11 +21,12 @@ def _sent_views(src_sql: str, *views: str, more: dict | None = None):
 
 
 _WHOLE = _sent_views("SELECT id AS sid, title || selftext AS text FROM posts", "plain_posts")
-_TITLE = _sent_views("SELECT id AS sid, title AS text FROM posts", "posts")
+_TITLE = _sent_views("SELECT id AS sid, title AS text FROM posts", "plain_posts")
 
 
 def title_scores(spark, sf):
-    p = posts(spark, sf)
+    """T1 on the titles of the documents themselves, without injected ones."""
+    p = posts(spark, sf, golden=False)
     return sentiment_scores(p.select("id", "title"), "id", "title")
 
 
@@ -113,15 +114,16 @@ SELECT p.id, p.source, t.compound AS title_compound, s.compound AS selftext_comp
          AS sentiment_label
 FROM posts p JOIN sent_out t ON t.sid = p.id LEFT JOIN sent_out s ON s.sid = 'S' || p.id"""))
 def q_result_projection(spark, sf):
-    """P5: result row per post: title sentiment, selftext sentiment (NULL for
-    an empty selftext) and the label, which comes from the title."""
-    p = posts(spark, sf)
-    t = sentiment_scores(p.select("id", "title"), "id", "title").select("id", F.col("compound").alias("title_compound"))
-    st = sentiment_scores(p.where(F.col("selftext") != "").select("id", "selftext"), "id", "selftext") \
-        .select("id", F.col("compound").alias("selftext_compound"))
-    return p.select("id", "source").join(t, "id").join(st, "id", "left").select(
-        "id", "source", "title_compound", "selftext_compound",
-        X.sentiment_label("title_compound").alias("sentiment_label"))
+    """P5: result row per post: title sentiment, selftext sentiment (NULL for an empty selftext) and
+    the label, which comes from the title. Both texts go through T1 together."""
+    part = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("title").alias("text")),
+                             F.struct(F.lit(1).alias("part"), F.nullif(F.col("selftext"), F.lit("")).alias("text")))).alias("p")
+    texts = posts(spark, sf).select("id", "source", part).select("id", "source", "p.*").where("part = 0 OR text IS NOT NULL")
+    s = sentiment_scores(texts, ["id", "source", "part"], "text")
+    both = s.groupBy("id", "source").agg(F.max(F.when(F.col("part") == 0, F.col("compound"))).alias("title_compound"),
+                                         F.max(F.when(F.col("part") == 1, F.col("compound"))).alias("selftext_compound"))
+    return both.select("id", "source", "title_compound", "selftext_compound",
+                       X.sentiment_label("title_compound").alias("sentiment_label"))
 
 
 # ---------------------------------------------------------------- threads
@@ -136,18 +138,14 @@ _THR = _sent_views(
                      WHERE r.text IS NOT NULL AND trim(r.text) <> ''"""})
 
 
-def thread_scores(spark, sf):
-    """T2 input: every comment with its compound score."""
-    t = threads(spark, sf, tombstones=False)
-    s = sentiment_scores(t, ["post_id", "thread_ix", "reply_ix"], "text")
-    return t.join(s, ["post_id", "thread_ix", "reply_ix"])
-
-
 def kept_thread_comments(spark, sf):
-    """Threads with a non-blank top comment; non-blank replies only."""
-    c = thread_scores(spark, sf).where(F.col("text").isNotNull() & (F.trim("text") != ""))
-    tops = c.where(F.col("reply_ix") == 0).select("post_id", "thread_ix")
-    return c.join(tops, ["post_id", "thread_ix"], "left_semi")
+    """Threads with a non-blank top comment, non-blank replies only: (post_id, thread_ix,
+    reply_ix, bucket, compound). Threads are chosen before anything is scored, and the length
+    bucket goes through T1 with the key, so that scores are not joined back to texts."""
+    t = threads(spark, sf, tombstones=False).where(F.col("text").isNotNull() & (F.trim("text") != ""))
+    tops = t.where(F.col("reply_ix") == 0).select("post_id", "thread_ix")
+    kept = t.join(tops, ["post_id", "thread_ix"], "left_semi").withColumn("bucket", X.length_bucket("text"))
+    return sentiment_scores(kept, ["post_id", "thread_ix", "reply_ix", "bucket"], "text")
 
 
 @query("thread_sentiments", _THR("SELECT post_id, thread_ix, reply_ix, compound FROM kept"))
@@ -243,24 +241,22 @@ _THR_STRIP = _sent_views(
 
 @query("thread_strip", _THR_STRIP(_STRIP_SQL))
 def q_thread_strip(spark, sf):
-    """The 8-cell strip per post. cursor = running sum of 1 + min(replies, 2)
-    over earlier threads (window per post); a thread is drawn while cursor < 8,
-    its replies at cursor+1.. while < 8. Cell = class (X7) + length bucket (X9)."""
-    k = kept_thread_comments(spark, sf)
-    cls, bucket = X.strip_class("compound"), X.length_bucket("text")
-    reps = k.where(F.col("reply_ix") > 0).withColumn(
-        "rr", F.row_number().over(Window.partitionBy("post_id", "thread_ix").orderBy("reply_ix"))
-    ).where(F.col("rr") <= 2)
-    nr = reps.groupBy("post_id", "thread_ix").agg(F.count(F.lit(1)).alias("nr"))
-    w = Window.partitionBy("post_id").orderBy("thread_ix").rowsBetween(Window.unboundedPreceding, -1)
-    tops = k.where(F.col("reply_ix") == 0).join(nr, ["post_id", "thread_ix"], "left") \
-        .withColumn("cursor", F.coalesce(F.sum(1 + F.coalesce(F.col("nr"), F.lit(0))).over(w), F.lit(0)))
-    line1 = tops.select("post_id", F.lit(1).alias("line"), F.col("cursor").alias("cell"),
-                        cls.alias("cls"), bucket.alias("bucket"), "cursor")
-    line2 = reps.join(tops.select("post_id", "thread_ix", "cursor"), ["post_id", "thread_ix"]).select(
-        "post_id", F.lit(2).alias("line"), (F.col("cursor") + F.col("rr")).alias("cell"),
-        cls.alias("cls"), bucket.alias("bucket"), "cursor")
-    return line1.unionByName(line2).where((F.col("cursor") < 8) & (F.col("cell") < 8)).drop("cursor")
+    """The 8-cell strip per post. cursor = running sum of 1 + min(replies, 2) over earlier
+    threads; a thread is drawn while cursor < 8, its replies at cursor+1.. while < 8. Cell =
+    class (X7) + length bucket (X9). Every thread takes a cell, so the first 8 of a post
+    are enough: each is one row with its replies before the window over them."""
+    cell = F.struct("reply_ix", X.strip_class("compound").alias("cls"), "bucket")
+    per = kept_thread_comments(spark, sf).groupBy("post_id", "thread_ix").agg(
+        F.array_sort(F.collect_list(cell)).alias("cells"))
+    per = per.select("post_id", "thread_ix", F.slice("cells", 1, 3).alias("cells"))  # the comment and two replies
+    w = Window.partitionBy("post_id").orderBy("thread_ix")
+    first = per.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 8)
+    before = F.sum(F.size("cells")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    drawn = first.withColumn("cursor", F.coalesce(before, F.lit(0))).where(F.col("cursor") < 8)
+    out = drawn.select("post_id", "cursor", F.posexplode("cells").alias("i", "c"))
+    return out.where(F.col("cursor") + F.col("i") < 8).select(
+        "post_id", F.when(F.col("i") == 0, 1).otherwise(2).alias("line"), (F.col("cursor") + F.col("i")).alias("cell"),
+        F.col("c.cls").alias("cls"), F.col("c.bucket").alias("bucket"))
 
 
 @query("lexicon_join", _WHOLE("""
@@ -271,7 +267,7 @@ def q_lexicon_join(spark, sf):
     from chorus.operators.sentiment import lexicon_for_join, token_rows
     rows = token_rows(posts(spark, sf, golden=False).select("id", F.concat("title", "selftext").alias("text")),
                       ["id"], "text").where(F.col("i") >= 0)
-    lex = lexicon_for_join(spark, None)
+    lex, _ = lexicon_for_join(spark, None)
     j = rows.join(lex, rows.tok == lex.token)
     return j.groupBy(F.col("sid.id").alias("id")).agg(F.count(F.lit(1)).alias("n_hits"),
                                                       F.round(F.sum("valence"), 6).alias("sum_valence"))

@@ -45,7 +45,7 @@ def _labels(spark, rows):
     out = {}
     for r in lab.collect():
         out.setdefault(int(r.post), set()).add(r.l)
-    best = {int(r.post): r.model_label for r in M.best_model_label(m).collect()}
+    best = {int(r.id): r.l for r in df.select("id", M.best_model_label(F.col("title"), F.col("text")).alias("l")).collect()}
     return out, best
 
 
@@ -145,3 +145,43 @@ def test_idioms(spark, monkeypatch, text, total):
     if text.startswith("good"):  # beyond the broadcast bound the joins shuffle, with the same result
         monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
         assert sentiment_scores(df, "id", "t", lex).first().compound == want
+
+
+def plain_nearest(tokens, pos, present):
+    """The reference's rule: the first of the smallest distance, at most 12 away."""
+    at = [i for i, t in enumerate(tokens) if present(t)]
+    best = min(at, key=lambda i: abs(i - pos), default=None)
+    return best if best is not None and abs(best - pos) <= 12 else None
+
+
+def test_long_sentence_without_a_full_stop(spark):
+    """20,000 words, a third of them candidates: every anchor is the nearest one, in linear time."""
+    import random
+    import time
+    rng = random.Random(5)
+    words = [rng.choice(["claude", "gpt", "sonnet", "mini", "3.5", "o3", "plain", "words", "go", "here", "and", "on"])
+             if (i // 500) % 2 else rng.choice(["plain", "words", "sonnet", "claude"] + ["x"] * 30) for i in range(20_000)]
+    text = " ".join(words)
+    df = spark.createDataFrame([("a", text)], "id string, title string").withColumn("text", F.lit(""))
+    t0 = time.time()
+    row = M.sentence_anchors(df, "id", "title", "text").select(F.inline("cands")).collect()
+    got = {r.pos: (r.fp, r.vp) for r in row}
+    fam, ver = (lambda t: t in ("claude", "gpt")), (lambda t: t in ("3.5", "o3"))
+    for i, w in enumerate(words):
+        if w in ("sonnet", "mini"):
+            lo = max(0, i - 13)
+            near = words[lo:i + 14]
+            f, v = plain_nearest(near, i - lo, fam), plain_nearest(near, i - lo, ver)
+            assert got[i] == (None if f is None else f + lo, None if v is None else v + lo)
+    n = M.model_mentions(df, "id", "title", "text").count()
+    assert n >= sum(w in ("sonnet", "mini") for w in words)
+    assert time.time() - t0 < 120
+
+
+def test_mentions_are_one_map(spark):
+    """T4, T5 and J7 to J9 need no shuffle: a post's mentions come from its own row."""
+    from chorus.plans.catalog import load_all
+    from tests.conftest import SF_SMALL
+    for name in ("model_mentions", "best_model_label", "adjacent_sentence_pairs", "nearest_anchor", "valid_combo"):
+        plan = load_all()[name][0](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan, name
