@@ -50,5 +50,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     # importing the plan modules fills CATALOG
     from chorus.plans import (  # noqa: F401
-        content, graph, landed, mentions, ranking, scalars, sentiment, store, streaming, words)
+        content, graph, landed, mentions, ranking, scalars, sentiment, store, streaming, trends, words)
     return CATALOG

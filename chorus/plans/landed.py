@@ -16,13 +16,16 @@ from chorus.sources.tables import posts, threads
 SEEN_LIMIT = 20
 
 
-@query("ingest_listing_posts", with_views(f"""
+_LISTING_SQL = """
 SELECT id, title, selftext, score, url, CASE WHEN pos % 31 = 0 THEN '[deleted]' ELSE author END AS author,
        created_epoch, num_comments, CASE WHEN pos % 41 = 0 THEN 'unknown' ELSE subreddit END AS subreddit,
        CASE WHEN coalesce(permalink, '') <> '' AND NOT starts_with(permalink, 'http')
             THEN 'https://www.reddit.com' || permalink ELSE coalesce(permalink, '') END AS permalink,
        'Reddit' AS source
-FROM posts WHERE source = 'Reddit' AND pos % 23 <> 0 AND pos % 58 <> 0 AND title <> ''
+FROM posts WHERE source = 'Reddit' AND pos % 23 <> 0 AND pos % 58 <> 0 AND title <> ''"""
+
+
+@query("ingest_listing_posts", with_views(f"""{_LISTING_SQL}
   AND id NOT IN (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source ORDER BY pos, id) AS rn FROM posts)
                  WHERE rn <= {SEEN_LIMIT // 2})""", "posts"))
 def ingest_listing_posts(spark, sf):

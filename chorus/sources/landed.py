@@ -35,10 +35,19 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def ingest_listing_posts(listing: DataFrame, seen_ids: DataFrame | None = None) -> DataFrame:
     """Explode data.children (every child a document holds), keep kind t3 with a title, drop ids already seen (J2, anti-join), defaults
     for missing fields; the permalink is made absolute (P2)."""
-    ch = listing.select(F.explode(F.col("data.children")).alias("c")) \
-        .where((F.col("c.kind") == "t3") & (F.coalesce(F.col("c.data.title"), F.lit("")) != "")).select("c.data.*")
+    ch = listing_children(listing.select(F.explode(F.col("data.children")).alias("c")))
     if seen_ids is not None:
         ch = ch.join(seen_ids.select("id"), "id", "left_anti")
+    return listing_posts(ch)
+
+
+def listing_children(children: DataFrame) -> DataFrame:
+    """The posts among listing children ``c``: kind t3 with a title."""
+    return children.where((F.col("c.kind") == "t3") & (F.coalesce(F.col("c.data.title"), F.lit("")) != "")).select("c.data.*")
+
+
+def listing_posts(ch: DataFrame) -> DataFrame:
+    """Post records of listing children, defaults for missing fields."""
     perm = F.coalesce(F.col("permalink"), F.lit(""))
     return ch.select(
         "id", "title", F.coalesce("selftext", F.lit("")).alias("selftext"), F.coalesce("score", F.lit(0)).alias("score"),
@@ -55,7 +64,11 @@ def ingest_hits_posts(lines: DataFrame) -> DataFrame:
     """Hits documents read as text; each hit is parsed from its own JSON
     text so that an absent ``url`` key (-> discussion page) differs from a
     present null (kept NULL)."""
-    hits = lines.select(F.explode(F.from_json("value", "struct<hits: array<string>>")["hits"]).alias("h"))
+    return hit_posts(lines.select(F.explode(F.from_json("value", "struct<hits: array<string>>")["hits"]).alias("h")))
+
+
+def hit_posts(hits: DataFrame) -> DataFrame:
+    """Post records of hits ``h``, each a JSON text."""
     h = hits.select(F.from_json("h", HIT_SCHEMA).alias("x"), F.json_object_keys("h").alias("keys")) \
         .where(F.coalesce(F.col("x.title"), F.lit("")) != "")
     oid = F.coalesce(F.col("x.objectID"), F.lit(""))
@@ -192,15 +205,16 @@ def land_items(threads: DataFrame, path: str) -> None:
     """HN items for odd conversation ids: a story with kids, comments
     (deleted / dead flags for tombstones) and their replies."""
     t = threads.where(F.col("post_id") % 2 == 1)
-    cid = F.lit(1_000_000_000) + F.col("post_id") * 100 + F.col("thread_ix")
+    # ids of their own for up to half a million threads a post: the comment's, and next to it its reply's
+    cid = F.lit(1_000_000_000) + F.col("post_id").cast("long") * 1_000_000 + 2 * F.col("thread_ix")
     top = t.where(F.col("reply_ix") == 0)
     rep = t.where(F.col("reply_ix") == 1).select("post_id", "thread_ix", F.col("text").alias("reply"))
     j = top.join(rep, ["post_id", "thread_ix"], "left")
     flags = lambda x: [(x == "[deleted]").alias("deleted"), (x == "[removed]").alias("dead")]
     comments = j.select(cid.alias("id"), F.lit(None).cast("string").alias("post_id"),
-                        F.when(F.col("reply").isNotNull(), F.array(cid + 50)).alias("kids"), "text", *flags(F.col("text")))
+                        F.when(F.col("reply").isNotNull(), F.array(cid + 1)).alias("kids"), "text", *flags(F.col("text")))
     replies = j.where(F.col("reply").isNotNull()).select(
-        (cid + 50).alias("id"), F.lit(None).cast("string").alias("post_id"), F.lit(None).cast("array<bigint>").alias("kids"),
+        (cid + 1).alias("id"), F.lit(None).cast("string").alias("post_id"), F.lit(None).cast("array<bigint>").alias("kids"),
         F.col("reply").alias("text"), *flags(F.col("reply")))
     stories = top.groupBy("post_id").agg(F.array_sort(F.collect_list(cid)).alias("kids")).select(
         F.col("post_id").cast("long").alias("id"), F.concat(F.lit("hn_"), F.col("post_id").cast("string")).alias("post_id"),

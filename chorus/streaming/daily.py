@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from chorus.functions.text import sentiment_label
 
@@ -45,34 +46,75 @@ def _utc_day(ts) -> F.Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int")).cast("string")
 
 
-def stream_daily_sentiment(spark, source_dir: str, out_dir: str, checkpoint: str,
-                           files_per_trigger: int = 1, output_mode: str = "complete",
-                           glob: str = "events.parquet") -> DataFrame:
-    """Events read as a file stream, 1-day tumbling windows per topic,
-    source and model under a 1-day watermark. In complete mode each micro-batch
-    replaces the result table; in append mode a day is written once the
-    watermark has passed its end, and rows arriving later for it are
-    dropped. The result is returned read back."""
-    schema = spark.read.parquet(source_dir).schema if glob != "events.parquet" else None
-    if schema is None:
+def read_events(spark, source_dir: str, files_per_trigger: int = 1, glob: str = "events.parquet",
+                delay: str = "1 day", source: str | None = None) -> DataFrame:
+    """The events of a folder (of one ``source``, if given) as a file stream with their event time
+    ``et`` under a watermark."""
+    if glob == "events.parquet":
         from chorus.sources.tables import read
         schema = read(spark, source_dir, "events").schema
+    else:
+        schema = spark.read.parquet(source_dir).schema
     ev = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
           .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
-    sc = event_scores(ev).withColumn("et", event_time(F.col("ts")))
-    agg = (sc.withWatermark("et", "1 day")
-           .groupBy(F.window("et", "1 day").alias("w"), "topic_id", "source", "model_name").agg(*_aggs()))
+    scored = event_scores(ev).withColumn("et", event_time(F.col("ts")))
+    if source is not None:
+        scored = scored.where(F.col("source") == source)
+    return scored.withWatermark("et", delay)
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        # one folder per epoch, overwritten: a replayed batch replaces its own rows
-        path = out_dir if output_mode == "complete" else f"{out_dir}/epoch={epoch}"
-        batch.select(_utc_day(F.col("w.start")).alias("day"), "topic_id", "source", "model_name", "positive_count",
-                     "negative_count", "neutral_count", "avg_confidence").write.mode("overwrite").parquet(path)
 
-    q = (agg.writeStream.outputMode(output_mode).foreachBatch(sink)
+def run_stream(stream: DataFrame, sink, checkpoint: str, output_mode: str) -> StreamingQuery:
+    """All that is there now, through ``foreachBatch``; returns the ended query."""
+    q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir).drop("epoch")
+    return q
+
+
+def upsert(batch: DataFrame, epoch: int, out_dir: str, by: str) -> None:
+    """Keyed upsert of one micro-batch: its rows replace the partition (``by`` value, epoch), and
+    no other. A replayed epoch writes the same rows to the same place; :func:`latest`
+    reads the newest row of every key."""
+    (batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(by, "epoch").parquet(out_dir))
+
+
+def latest(spark, out_dir: str, keys: list[str], schema: str) -> DataFrame:
+    """The row of the last epoch per key of what :func:`upsert` wrote."""
+    df = spark.read.schema(schema + ", epoch long").parquet(out_dir)
+    rest = [c for c in df.columns if c not in keys and c != "epoch"]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r")).select(*keys, "r.*")
+
+
+DAILY_KEYS = ["day", "topic_id", "source", "model_name"]
+DAILY_SCHEMA = ("day string, topic_id long, source string, model_name string, positive_count long, negative_count long, "
+                "neutral_count long, avg_confidence double")
+
+
+def stream_daily_sentiment(spark, source_dir: str, out_dir: str, checkpoint: str,
+                           files_per_trigger: int = 1, output_mode: str = "update",
+                           glob: str = "events.parquet") -> DataFrame:
+    """Events read as a file stream, 1-day tumbling windows per topic, source and model
+    under a 1-day watermark; the result is returned read back.
+
+    Update mode (the default): a micro-batch emits the days it has touched, which are
+    upserted by key; a day's state is evicted once the watermark has passed its end, so
+    the state holds the open days only. Append mode: a day is written once, when it is
+    closed. In both, rows that arrive later than the watermark are dropped."""
+    return start_daily_sentiment(spark, source_dir, out_dir, checkpoint, files_per_trigger, output_mode, glob)[0]
+
+
+def start_daily_sentiment(spark, source_dir: str, out_dir: str, checkpoint: str, files_per_trigger: int = 1,
+                          output_mode: str = "update", glob: str = "events.parquet") -> tuple[DataFrame, StreamingQuery]:
+    """:func:`stream_daily_sentiment` with the ended query, whose progress holds the state's size."""
+    agg = (read_events(spark, source_dir, files_per_trigger, glob)
+           .groupBy(F.window("et", "1 day").alias("w"), "topic_id", "source", "model_name").agg(*_aggs()))
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        upsert(batch.select(_utc_day(F.col("w.start")).alias("day"), "topic_id", "source", "model_name", "positive_count",
+                            "negative_count", "neutral_count", "avg_confidence"), epoch, out_dir, "day")
+    q = run_stream(agg, sink, checkpoint, output_mode)
+    return latest(spark, out_dir, DAILY_KEYS, DAILY_SCHEMA), q
 
 
 def stream_dedup_posts(spark, source_dir: str, out_dir: str, checkpoint: str) -> DataFrame:
@@ -92,7 +134,5 @@ def stream_dedup_posts(spark, source_dir: str, out_dir: str, checkpoint: str) ->
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.select("source", "external_id").write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
-    q = (d.writeStream.outputMode("append").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    run_stream(d, sink, checkpoint, "append")
     return spark.read.parquet(out_dir).drop("epoch")

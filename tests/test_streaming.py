@@ -39,7 +39,7 @@ def test_append_mode_drops_late_rows(spark):
     assert (d1.positive_count, d1.negative_count, d1.neutral_count) == (1, 1, 0)   # late row dropped
 
 
-def test_complete_mode_equals_batch(spark):
+def test_update_mode_equals_batch(spark):
     from chorus.sources.tables import read
     from tests.conftest import SF_SMALL
     base = tempfile.mkdtemp(prefix="chorus-stream-", dir="/tmp")
