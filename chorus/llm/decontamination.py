@@ -23,7 +23,8 @@ maxima. All steps are numpy over a piece of documents; nothing is shuffled.
 
 The index of a set of items travels with the tasks. Its size is checked: items
 above ``INDEX_BYTES`` of text are indexed in blocks, each with its own pass
-over the documents; document frequencies are always those of all items."""
+over the documents, whose result is written before the next block is built: the driver
+holds one block. Document frequencies are always those of all items."""
 
 from __future__ import annotations
 
@@ -33,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import arrow_bytes, drop_worker_cache, pieces, word_bounds, word_codes
+from chorus.llm.common import arrow_bytes, cut, drop_worker_cache, pieces, word_bounds, word_codes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -195,9 +196,10 @@ class Index:
         return [(d, self.ids[i], *x) for (d, i), x in sorted(out.items(), key=lambda kv: kv[0]) if x]
 
 
-def build_indexes(items: DataFrame) -> list[list[Index]]:
-    """Per ``INDEX_BYTES`` of item text the indexes of its length classes; items without
-    a word are left out."""
+def index_blocks(items: DataFrame):
+    """Per ``INDEX_BYTES`` of item text the indexes of its length classes, one block after the
+    other, so that the driver need not hold two; items without a word are left out. Yields
+    (indexes, whether it is the only block)."""
     cols = set(items.columns)
     qa = {"question", "answer"} <= cols
     src = items.select("item_id", *(["question", "answer"] if qa else []),
@@ -207,12 +209,11 @@ def build_indexes(items: DataFrame) -> list[list[Index]]:
     src = src.where("size(_words) > 0")
     n, size, mean = src.agg(F.count("*"), F.sum(F.octet_length("text")), F.avg(F.size("_words"))).first()
     if not n:
-        return []
+        return
     blocks = -(-size // INDEX_BYTES)
     src = src.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     df = src.select("_b", F.explode(F.array_distinct("_words")).alias("_w"))
     freq = df.groupBy("_w").agg(F.count("*").alias("_df"))
-    out = []
     for b in range(blocks):
         rows = src.where(F.col("_b") == b).orderBy("item_id", "text").collect()
         if not rows:
@@ -226,9 +227,8 @@ def build_indexes(items: DataFrame) -> list[list[Index]]:
         classes: dict[int, list[int]] = {}
         for i, r in enumerate(rows):
             classes.setdefault(length_class(len(r["_words"])), []).append(i)
-        out.append([Index([rows[i]["item_id"] for i in at], [" ".join(rows[i]["_words"]) for i in at],
-                          [parts[i] for i in at], known, n, mean) for _, at in sorted(classes.items())])
-    return out
+        yield [Index([rows[i]["item_id"] for i in at], [" ".join(rows[i]["_words"]) for i in at],
+                     [parts[i] for i in at], known, n, mean) for _, at in sorted(classes.items())], blocks == 1
 
 
 def _scan(batches, indexes: list[Index], threshold: float, overlap: float):
@@ -266,14 +266,20 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                     yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
         return run
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = [docs.mapInArrow(scanner(indexes), schema)
-             for indexes in build_indexes(items.withColumn("item_id", F.col("item_id").cast("long")))]
+    found = []
+    for indexes, only in index_blocks(items.withColumn("item_id", F.col("item_id").cast("long"))):
+        pairs = docs.mapInArrow(scanner(indexes), schema)
+        found.append(pairs if only else cut(pairs))
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs``, unchanged, that hold no test item (a map, no join)."""
+    """The rows of ``docs``, unchanged, that hold no test item (a map, no join).
+
+    Defined cases: null and blank texts hold nothing and stay; repeated rows and null ids are
+    judged each by its text; a text of any length is searched whole; without items all rows stay;
+    an empty table gives no rows; only ``text`` is read, other columns pass whatever their names."""
     def keeper(indexes):
         def run(batches):
             import pyarrow as pa
@@ -282,8 +288,9 @@ def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                 mask[[f[0] for f in found]] = False
                 yield batch.slice(a, b - a).filter(pa.array(mask))
         return run
-    for indexes in build_indexes(items):
+    for indexes, only in index_blocks(items):
         docs = docs.mapInArrow(keeper(indexes), docs.schema)
+        docs = docs if only else cut(docs)
     return docs
 
 
