@@ -22,7 +22,8 @@ K = 64
 SEED = 11
 CACHE_TERMS = 50_000   # terms whose draws a task remembers (1 KB each at k = 64)
 BLOCK_BYTES = 4 << 20  # text of one run of neighbouring documents
-MAX_BLOCKS = 2000      # bounds the split points that reach the driver
+DRAWS = 20             # ids drawn per run to find its end
+MAX_RUNS = 100_000     # bounds the numbers that reach the driver; runs of 1 GB at 100 TB
 LOWEST = -(1 << 63)    # order of a null doc_id: after all others, descending
 
 
@@ -134,30 +135,67 @@ def likeness(a: Column, b: Column, k: int = K) -> Column:
     return F.when((a == none) != (b == none), F.lit(0.0)).otherwise(same / k)
 
 
+def run_ends(docs: DataFrame) -> np.ndarray:
+    """Ids that end runs of neighbouring documents of about ``BLOCK_BYTES`` of text, rising. They are
+    read off ids drawn in proportion to their bytes, ``DRAWS`` a run."""
+    total = text_bytes(docs)
+    runs = min(MAX_RUNS, max(1, -(-total // BLOCK_BYTES)))
+    if runs == 1:
+        return np.zeros(0, np.int64)
+    step = total / runs / DRAWS
+    size = F.octet_length("text")
+    draw = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))  # 0 to 1, fixed by the id
+    drawn = docs.where(draw * step < size).select("id", size.cast("long").alias("size")).toPandas().sort_values("id")
+    done = np.cumsum(np.maximum(drawn["size"].to_numpy(), step))
+    last = np.flatnonzero(np.diff(done // (total / runs)) > 0)
+    return np.unique(drawn["id"].to_numpy()[last].astype(np.int64))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (dest, guest, id, doc_id, text) sorted within partitions by (dest, guest, id
     descending, text): every dest holds a run of neighbouring documents in descending
     id order, and as guest the document that follows its last one (the overall first
-    follows the overall last). The text is shuffled once; of the ids, only quantiles
-    and each run's largest (at most MAX_BLOCKS numbers) reach the driver."""
+    follows the overall last). The text is shuffled once; a document finds its run by
+    binary search. Of the ids, the drawn ones, the runs' ends and each run's largest
+    (together at most about (DRAWS + 2) * MAX_RUNS numbers) reach the driver."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"),
                        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = min(MAX_BLOCKS, max(1, -(-text_bytes(docs) // BLOCK_BYTES)))
-    at = sorted({int(x) for x in (docs.approxQuantile("id", [i / blocks for i in range(1, blocks)], 0.001)
-                                  if blocks > 1 else [])})
-    splits = F.array(*[F.lit(x) for x in at]).cast("array<bigint>")
-    docs = docs.withColumn("own", F.size(F.filter(splits, lambda x: x < F.col("id"))))
-    heads = {r["own"]: r["head"] for r in docs.groupBy("own").agg(F.max("id").alias("head")).collect()}
+    ends = run_ends(docs)
+
+    def largest(batches):
+        import pyarrow as pa
+        top: dict[int, int] = {}
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            own = np.searchsorted(ends, ids)
+            order = np.lexsort((ids, own))
+            last = order[np.flatnonzero(np.concatenate((own[order][1:] != own[order][:-1], [True])))] if len(ids) else order
+            for o, i in zip(own[last].tolist(), ids[last].tolist()):
+                top[o] = max(i, top.get(o, i))
+        yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array(list(top.values()), pa.int64())],
+                                         ["own", "head"])
+    rows = docs.select("id").mapInArrow(largest, "own long, head long").groupBy("own").agg(F.max("head").alias("head")).collect()
+    heads = {r["own"]: r["head"] for r in rows}
     order = sorted(heads)
-    up = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
-    entry = [x for b in order for x in (F.lit(b), F.struct(F.lit(heads[b]).alias("head"), F.lit(up[b]).alias("up")))]
-    if not entry:
-        return docs.selectExpr("own AS dest", "false AS guest", "id", "doc_id", "text")
-    to = F.create_map(*entry)[F.col("own")]
-    own = F.struct(F.col("own").alias("dest"), F.lit(False).alias("guest"))
-    both = F.array(own, F.struct(to["up"].alias("dest"), F.lit(True).alias("guest")))
-    sent = docs.withColumn("to", F.explode(F.when(F.col("id") == to["head"], both).otherwise(F.array(own))))
-    return (sent.select("to.dest", "to.guest", "id", "doc_id", "text").repartition("dest")
+    known = np.array(order, np.int64)
+    head, up = np.array([heads[b] for b in order], np.int64), np.roll(known, -1)
+
+    def deal(batches):
+        import pyarrow as pa
+        names = ["dest", "guest", "id", "doc_id", "text"]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id").to_numpy()
+            own = np.searchsorted(ends, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), bool)), *batch.columns], names)
+            at = np.searchsorted(known, own)
+            guests = np.flatnonzero(head[at] == ids)
+            if len(guests):
+                sent = batch.take(pa.array(guests))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(up[at[guests]]), pa.array(np.ones(len(guests), bool)), *sent.columns], names)
+    return (docs.mapInArrow(deal, "dest long, guest boolean, id long, doc_id long, text string").repartition("dest")
             .sortWithinPartitions("dest", "guest", F.desc("id"), "text"))
 
 
