@@ -111,11 +111,16 @@ def plain_signature(text, k, seed):
     return "".join(out)
 
 
-def test_weighted_fingerprints_by_definition(spark):
+@pytest.mark.parametrize("block_bytes", [fingerprints.BLOCK_BYTES, 300])  # one run of neighbours, many
+def test_weighted_fingerprints_by_definition(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(fingerprints, "BLOCK_BYTES", block_bytes)
     rng = random.Random(12)
     text = lambda n: " ".join(rng.choice(["ab", "cé", "d", "ee", "f"]) + str(rng.randrange(6)) for _ in range(n))
     rows = [(i, text(rng.randrange(0, 60))) for i in range(24)] + [(100, None), (101, ""), (102, "one"), (103, "é" * 41)]
-    got = {r.doc_id: r for r in fingerprints.op2(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ends = fingerprints.run_ends(df.withColumn("id", F.col("doc_id")))
+    assert (len(ends) > 3) == (block_bytes == 300)
+    got = {r.doc_id: r for r in fingerprints.op2(df).collect()}
     order = sorted(rows, reverse=True)
     alike = lambda a, b: sum(a[p:p + 4] == b[p:p + 4] for p in range(0, 256, 4)) / 64
     for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
