@@ -49,14 +49,14 @@ def _utc_day(ts) -> F.Column:
 def read_events(spark, source_dir: str, files_per_trigger: int = 1, glob: str = "events.parquet",
                 delay: str = "1 day", source: str | None = None) -> DataFrame:
     """The events of a folder (of one ``source``, if given) as a file stream with their event time
-    ``et`` under a watermark."""
+    ``et`` under a watermark. The files of the events table lie in no order of time, so they are one
+    micro-batch: taken ``files_per_trigger`` at a time, rows would be dropped as late."""
     if glob == "events.parquet":
-        from chorus.sources.tables import read
-        schema = read(spark, source_dir, "events").schema
+        from chorus.sources.tables import stream_table
+        ev = stream_table(spark, source_dir, "events")
     else:
-        schema = spark.read.parquet(source_dir).schema
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-          .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
+        ev = (spark.readStream.schema(spark.read.parquet(source_dir).schema).option("pathGlobFilter", glob)
+              .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
     scored = event_scores(ev).withColumn("et", event_time(F.col("ts")))
     if source is not None:
         scored = scored.where(F.col("source") == source)
@@ -118,12 +118,11 @@ def start_daily_sentiment(spark, source_dir: str, out_dir: str, checkpoint: str,
 
 
 def stream_dedup_posts(spark, source_dir: str, out_dir: str, checkpoint: str) -> DataFrame:
-    """R2: posts streamed from the documents file, de-duplicated on
+    """R2: posts streamed from the documents table (a file or a folder of files), de-duplicated on
     (source, external_id = md5 of the text) within a 60-day watermark on the
     post time; appended per micro-batch, returned read back."""
-    from chorus.sources.tables import read
-    schema = read(spark, source_dir, "documents").schema
-    docs = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(source_dir))
+    from chorus.sources.tables import stream_table
+    docs = stream_table(spark, source_dir, "documents")
     reddit = F.col("doc_id") % 2 == 0
     p = docs.select(
         F.when(reddit, F.lit("Reddit")).otherwise(F.lit("HackerNews")).alias("source"),

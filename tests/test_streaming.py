@@ -47,3 +47,23 @@ def test_update_mode_equals_batch(spark):
     b = D.daily_sentiment_batch(read(spark, SF_SMALL, "events"))
     cols = ["day", "topic_id", "source", "model_name", "positive_count", "negative_count", "neutral_count", "avg_confidence"]
     assert sorted(map(tuple, s.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_tables_of_several_files(spark):
+    """A table may be a folder of files, in no order of time: every row is streamed."""
+    from pyspark.sql import functions as F
+
+    base = tempfile.mkdtemp(prefix="chorus-stream-", dir="/tmp")
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 25).alias("text"))
+    docs.repartition(4).write.parquet(os.path.join(base, "documents.parquet"))
+    got = D.stream_dedup_posts(spark, base, os.path.join(base, "out"), os.path.join(base, "ckpt")).collect()
+    want = {(i % 2, i % 25) for i in range(60)}
+    assert len(got) == len(set(got)) == len(want)
+
+    os.makedirs(os.path.join(base, "events.parquet"))
+    for i in range(3):  # the latest day first
+        rows = _events([(i, datetime(2024, 1, 20 - 6 * i, 10), 0, "view", 70.0, "{}")])
+        rows.to_parquet(os.path.join(base, "events.parquet", f"part-{i}.parquet"), coerce_timestamps="us")
+        time.sleep(1.1)
+    days = D.stream_daily_sentiment(spark, base, os.path.join(base, "out-days"), os.path.join(base, "ckpt-days")).collect()
+    assert sorted((r.day, r.positive_count) for r in days) == [("2024-01-08", 1), ("2024-01-14", 1), ("2024-01-20", 1)]
