@@ -38,12 +38,32 @@ class Sampler:
         self.at: dict[bytes, int] = {}
         self.code = np.zeros(rows, np.uint64)
         self.draws = np.zeros((4, rows, self.k), np.float32)  # r, b, ln c, ln a at weight 1
+        self.texts = np.zeros(rows, np.int32)  # texts that had the term
+
+    def _make_room(self) -> None:
+        """Forget the terms that one text only has had, and of the others all but the commonest."""
+        n = len(self.at)
+        kept = np.flatnonzero(self.texts[:n] > 1)
+        if len(kept) > self.cache_terms // 2:
+            kept = np.sort(kept[np.argsort(-self.texts[kept], kind="stable")[:self.cache_terms // 2]])
+        place = np.full(n, -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        self.code[:len(kept)], self.texts[:len(kept)] = self.code[kept], self.texts[kept] // 2
+        for lane in self.draws:
+            lane[:len(kept)] = lane[kept]
+        self.texts[len(kept):] = 0
+        self.at = {t: p for t, p in zip(self.at, place.tolist()) if p >= 0}
 
     def _uniform(self, x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
         x ^= x >> np.uint64(31)
-        return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+        x >>= np.uint64(11)
+        u = x.astype(np.float64)
+        u += 0.5
+        u *= 1 / (1 << 53)
+        return u
 
     def _learn(self, terms: list[bytes]) -> None:
         import xxhash
@@ -51,11 +71,12 @@ class Sampler:
         while n + len(terms) > len(self.code):
             self.code = np.concatenate((self.code, np.zeros_like(self.code)))
             self.draws = np.concatenate((self.draws, np.zeros_like(self.draws)), axis=1)
+            self.texts = np.concatenate((self.texts, np.zeros_like(self.texts)))
         code = np.array([xxhash.xxh64_intdigest(t, self.seed) for t in terms], np.uint64)
         self.code[n:n + len(terms)] = code
         lane = np.arange(5 * self.k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for i in range(0, len(terms), 512):
-            u = self._uniform(code[i:i + 512, None] + lane[None]).reshape(-1, 5, self.k)
+        for i in range(0, len(terms), 64):  # the numbers stay in a core's cache
+            u = self._uniform(code[i:i + 64, None] + lane[None]).reshape(-1, 5, self.k)
             r = -np.log(u[:, 0] * u[:, 1])
             ln_c = np.log(-np.log(u[:, 2] * u[:, 3]))
             rows = slice(n + i, n + i + len(r))
@@ -71,14 +92,18 @@ class Sampler:
         terms = sorted(counts)
         new = [t for t in terms if t not in self.at]
         if new and len(self.at) + len(new) > self.cache_terms:
-            self._clear(min(len(self.code), self.cache_terms))
-            new = terms
+            self._make_room()
+            new = [t for t in terms if t not in self.at]
+            if len(self.at) + len(new) > self.cache_terms:
+                self._clear(min(len(self.code), self.cache_terms))
+                new = terms
         if new:
             self._learn(new)
         best = kept = grid = None
         for i in range(0, len(terms), 8192):  # bounded memory for very long texts
             part = terms[i:i + 8192]
             rows = np.fromiter((self.at[t] for t in part), np.int64, len(part))
+            self.texts[rows] += 1
             w = np.fromiter((counts[t] for t in part), np.float64, len(part))
             ln_a, t = self.draws[3, rows], np.zeros((len(part), self.k), np.int32)
             many = np.flatnonzero(w > 1)
