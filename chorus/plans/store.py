@@ -31,12 +31,13 @@ TABLES = ("search_queries", "posts", "content", "sentiment_analyses")
 
 
 def derive_scored(spark, sf):
-    """Every post with its title scores, run, label and product version."""
+    """Every post with its title scores, run, label and product version. Urls and scores are joined on
+    ``pos`` (one to one with ``id``), so the texts are shuffled once for both."""
     p = posts(spark, sf, urls=True)
-    t = sentiment_scores(p.select("id", "title"), "id", "title").select(
-        "id", F.col("compound").alias("title_compound"), F.col("positive").alias("title_positive"),
+    t = sentiment_scores(p.select("pos", "title"), "pos", "title").select(
+        "pos", F.col("compound").alias("title_compound"), F.col("positive").alias("title_positive"),
         F.col("neutral").alias("title_neutral"), F.col("negative").alias("title_negative"))
-    return (p.join(t, "id")
+    return (p.join(t, "pos").select(*p.columns, *(c for c in t.columns if c != "pos"))
             .withColumn("search_query_id", (F.col("pos") % N_RUNS + 1).cast("int"))
             .withColumn("sentiment_label", X.sentiment_label("title_compound"))
             .withColumn("claude_version", product_version(F.concat_ws(" ", "title", "selftext"))))
