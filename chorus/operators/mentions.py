@@ -14,41 +14,54 @@ vocabulary has few. Sentence text is attached to the finished mentions only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorus import vocab
-from chorus.functions.text import sentences, strip_punct_lower, version_tokens
+from chorus.functions.text import let, sentences, strip_punct_lower, strip_space, version_tokens
 
 WINDOW = 12
 WS = r"[ \t\n\r\f\x0B]+"
+_NAMES = [w for w, _ in vocab.FAMILIES] + [w for w, _ in vocab.TIERS]
+CANDIDATE = f"[0-9]|(?=[{''.join(sorted({w[0] for w in _NAMES}))}])(?:{'|'.join(map(re.escape, _NAMES))})"
+
+
+def _by_head(patterns: list[str]) -> str:
+    """One pattern for the alternation of ``patterns``, each of which starts with a word of plain letters: the
+    word is looked for once, what may follow it stays in order. At one place only one word can start (none
+    starts another), so the order among the words does not matter."""
+    rests: dict[str, list[str]] = {}
+    for p in patterns:
+        head = re.match(r"[a-z]+(?![*+?{])", p)[0]
+        rests.setdefault(head, []).append(p[len(head):])
+    assert not any(a != b and a.startswith(b) for a in rests for b in rests)
+    return "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in rests.items())
+
+
+PRODUCT_VERSION = _by_head(vocab.PRODUCT_VERSION_PATTERNS)
 
 
 def product_version(text: Column) -> Column:
-    """Normalised product version of lower(text), NULL if nothing matches."""
-    t = F.lower(text)
-    m = F.nullif(F.regexp_extract(t, "|".join(f"(?:{p})" for p in vocab.PRODUCT_VERSION_PATTERNS), 0), F.lit(""))
-    m = F.trim(m)
-    out = None
-    for pat, label in vocab.PRODUCT_VERSION_LABELS:
-        out = (F.when(m.rlike(pat), F.lit(label)) if out is None else out.when(m.rlike(pat), F.lit(label)))
-    # fall-through: title case of a single lower-case word such as "claude3"
-    return F.when(m.isNull(), F.lit(None).cast("string")).otherwise(out.otherwise(F.initcap(m)))
+    """Normalised product version of lower(text), NULL if nothing matches. The text is searched once,
+    the labels are chosen on the match alone."""
+    def label(m):
+        out = None
+        for pat, name in vocab.PRODUCT_VERSION_LABELS:
+            out = (F.when(m.rlike(pat), F.lit(name)) if out is None else out.when(m.rlike(pat), F.lit(name)))
+        # fall-through: title case of a single lower-case word such as "claude3"
+        return F.when(m.isNull(), F.lit(None).cast("string")).otherwise(out.otherwise(F.initcap(m)))
+    return let(F.regexp_extract(F.lower(text), PRODUCT_VERSION, 0), lambda m: let(F.when(m != "", F.trim(m)), label))
 
 
 def _strip(x: Column) -> Column:
-    return F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", "")
+    return strip_space(F.coalesce(x, F.lit("")))
 
 
 def _content(title: Column, text: Column) -> Column:
-    t = _strip(title)
-    x = _strip(text)
-    return F.when(x == "", t).when(t == "", x).otherwise(F.concat(t, F.lit(" "), x))
-
-
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body looks at it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(_strip(title), lambda t: let(_strip(text), lambda x: F.when(x == "", t).when(t == "", x).otherwise(
+        F.concat(t, F.lit(" "), x))))
 
 
 def _lookup(pairs, key: Column) -> Column:
@@ -65,10 +78,7 @@ def _valid(vendor: Column, version: Column, tier: Column) -> Column:
 def _maybe(sent: Column) -> Column:
     """A sentence can only hold a candidate if its lower-case text contains a family or tier
     word or a digit (every version token has one)."""
-    low, out = F.lower(sent), sent.rlike("[0-9]")
-    for w in [w for w, _ in vocab.FAMILIES] + [w for w, _ in vocab.TIERS]:
-        out = out | (F.instr(low, w) > 0)
-    return out
+    return F.lower(sent).rlike(CANDIDATE)
 
 
 def tokens(sent: Column) -> Column:
